@@ -1,0 +1,174 @@
+"""Best representative of each duplicate group (problem 1).
+
+Records are unpivoted into (group, field, value) rows. Each value collects votes: the trust
+of its source times a recency decay, summed per normalised value, and beside the sum the
+best single vote as an ordered struct. ``max_by`` picks a value per field and the winners
+pivot back to one record per group.
+
+Two ways to rank values:
+
+* ``summed``: greatest vote sum. Many weak sources can outvote a strong one.
+* ``dominant``: the best single vote, trust first, then recency. It is what the sums tend
+  to when the trust radix grows and the half-life shrinks, and the only one that yields a
+  strict precedence of trust over recency over number.
+
+Everything is ``groupBy`` with map-side partial aggregates; a group holding a third of all
+rows arrives at its task as one row per map task.
+
+Defined results: null, blank, punctuation-only and stand-in values never vote; records with
+a null id or an unusable key are left out; a null ``collected_at`` is the oldest; copies
+count once; an empty table gives an empty result; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evigraph.functions.text import strip
+
+# Texts that mean "not filled in", letters and digits only, lower case.
+STAND_INS = (
+    "na", "none", "null", "nil", "nan", "undefined", "unknown", "unspecified", "notspecified",
+    "notset", "notavailable", "notapplicable", "missing", "empty", "blank", "todo", "tbd", "tba",
+    "tbc", "tobedefined", "tobedone", "tobedetermined", "fixme", "xxx", "placeholder", "default", "dummy",
+)
+# Precedence of evidence confidence, best first.
+CONFIDENCE_ORDER = ("OBSERVED", "HUMAN_REVIEWED", "DECLARED", "INFERRED", "UNKNOWN", "STALE", "CONFLICTED")
+# Precedence of declaration sources, best first; anything else comes after them.
+SOURCE_ORDER = ("JAVA_SOURCE", "ACTUATOR", "OPENAPI")
+# The fields of a declaration that are reconciled one by one.
+ENDPOINT_FIELDS = (
+    "controller_class", "handler_method", "request_body_type", "operation_id", "summary", "description",
+)
+
+#: Days after which a vote counts half, and the factor between two trust ranks.
+HALF_LIFE_DAYS = 180.0
+TRUST_RADIX = 4.0
+
+
+def says_something(value: Column) -> Column:
+    """Not null, blank, mere punctuation or a stand-in for "not filled in"."""
+    core = F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", ""))
+    return value.isNotNull() & (core != "") & ~core.isin(*STAND_INS)
+
+
+def endpoint_path_key(path: Column) -> Column:
+    """Path without origin, query, fragment, spare slashes and variable names."""
+    p = strip(path)
+    for _ in range(3):  # patterns such as {id:[0-9]{2}} nest braces
+        p = F.regexp_replace(p, r"\{[^{}]*\}", "\u0001")
+    p = F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
+    p = F.regexp_replace(p, r"[?#].*$", "")
+    p = F.regexp_replace(F.concat(F.lit("/"), strip(p)), r"/+", "/")
+    p = F.regexp_replace(p, r"(.)/$", "$1")
+    return F.regexp_replace(p, "\u0001+", "{}")
+
+
+def precedence(value: Column, order: Sequence[str]) -> Column:
+    """Rank of ``value`` in ``order``, best highest; 0 for anything else."""
+    up = F.upper(strip(value))
+    rank = F.lit(0)
+    for i, name in enumerate(order):
+        rank = F.when(up == name, len(order) - i).otherwise(rank)
+    return rank
+
+
+def best_confidence(evidence: Column) -> Column:
+    """Highest confidence rank among the evidence; none, null or unheard of count as UNKNOWN."""
+    floor = len(CONFIDENCE_ORDER) - CONFIDENCE_ORDER.index("UNKNOWN")
+    rank = lambda e: F.greatest(precedence(e["confidence"], CONFIDENCE_ORDER), F.lit(0))
+    ranks = F.transform(F.filter(evidence, lambda e: e.isNotNull()), lambda e: F.when(rank(e) == 0, floor).otherwise(rank(e)))
+    return F.coalesce(F.array_max(ranks), F.lit(floor))
+
+
+def cell_votes(
+    records: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    record_id: str,
+    trust: Sequence[Column],
+    recency: Column,
+) -> DataFrame:
+    """One row per group, field and normalised value, with its summed and its best vote.
+
+    Columns: ``keys``, field_name, norm_value (null for rows that say nothing, kept so that
+    group extent is known), low_id, high_id, votes, best (struct).
+    """
+    weight = F.lit(0.0)
+    for t in trust:
+        weight = weight * TRUST_RADIX + t.cast("double")
+    days = F.unix_micros(recency.cast("timestamp")) / F.lit(86_400_000_000)
+    picked = records.where(F.col(record_id).isNotNull()).select(
+        *[F.col(k).alias(k) for k in keys],
+        F.col(record_id).alias("__id"),
+        F.struct(*[t.alias(f"t{i}") for i, t in enumerate(trust)], recency.alias("at"), (-F.col(record_id)).alias("tie")).alias("__rank"),
+        (weight * F.pow(F.lit(2.0), F.coalesce(days, F.lit(0.0)) / HALF_LIFE_DAYS - 120.0)).alias("__vote"),
+        F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]).alias("__cells"),
+    )
+    long = picked.select(*keys, "__id", "__rank", "__vote", F.inline("__cells"))
+    said = says_something(F.col("value"))
+    return (
+        long.withColumn("norm_value", F.when(said, F.lower(F.regexp_replace(strip(F.col("value")), r"\s+", " "))))
+        .withColumn("__best", F.when(said, F.struct("__rank", "__id", "value")))
+        # copies of a record vote once
+        .groupBy(*keys, "field_name", "norm_value", "__id")
+        .agg(F.max("__vote").alias("__vote"), F.max("__best").alias("__best"))
+        .groupBy(*keys, "field_name", "norm_value")
+        .agg(F.min("__id").alias("low_id"), F.max("__id").alias("high_id"), F.sum("__vote").alias("votes"), F.max("__best").alias("best"))
+    )
+
+
+def field_winners(votes: DataFrame, keys: Sequence[str], mode: str = "dominant") -> DataFrame:
+    """The surviving value of every field of every group with at least two records."""
+    if mode not in ("dominant", "summed"):
+        raise ValueError(mode)
+    said = F.col("norm_value").isNotNull()
+    order = F.col("best.__rank") if mode == "dominant" else F.struct("votes", F.col("best.__rank"))
+    return (
+        votes.groupBy(*keys, "field_name")
+        .agg(
+            F.min("low_id").alias("group_id"),
+            F.max("high_id").alias("__high"),
+            F.max_by(F.col("best"), F.when(said, order)).alias("best"),
+            F.max_by(F.col("votes"), F.when(said, order)).alias("votes"),
+        )
+        .where((F.col("group_id") < F.col("__high")) & F.col("best").isNotNull())
+        .select(*keys, "group_id", "field_name", F.col("best.__id").alias("record_id"), F.col("best.value").alias("value"), "votes")
+    )
+
+
+def endpoint_records(declarations: DataFrame) -> DataFrame:
+    """Declarations with their endpoint key; those without method or path name no endpoint."""
+    return declarations.select(
+        "project_id",
+        F.upper(strip(F.col("http_method"))).alias("method_key"),
+        endpoint_path_key(F.col("path")).alias("path_key"),
+        "declaration_id",
+        "collected_at",
+        best_confidence(F.col("evidence")).alias("conf_rank"),
+        precedence(F.col("source"), SOURCE_ORDER).alias("source_rank"),
+        *ENDPOINT_FIELDS,
+    ).where(F.col("method_key").isNotNull() & F.col("path_key").isNotNull())
+
+
+def surviving_fields(declarations: DataFrame, mode: str = "dominant") -> DataFrame:
+    keys = ["project_id", "method_key", "path_key"]
+    votes = cell_votes(
+        endpoint_records(declarations), keys, ENDPOINT_FIELDS, "declaration_id",
+        [F.col("conf_rank"), F.col("source_rank")], F.col("collected_at"),
+    )
+    return field_winners(votes, keys, mode)
+
+
+def canonical_endpoints(declarations: DataFrame, mode: str = "dominant") -> DataFrame:
+    """One surviving record per endpoint: the winners pivoted back to columns."""
+    won = surviving_fields(declarations, mode)
+    pick = lambda f: F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f)
+    return (
+        won.groupBy("project_id", "method_key", "path_key")
+        .agg(F.min("group_id").alias("group_id"), *[pick(f) for f in ENDPOINT_FIELDS])
+        .withColumnsRenamed({"method_key": "http_method", "path_key": "path"})
+    )
