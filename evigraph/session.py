@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,25 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 16
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evigraph_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="evigraph-code-"), "evigraph.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for n in names:
+                if not n.endswith(".pyc"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("evigraph", os.path.relpath(path, home)))
+    sc.addPyFile(target)
+    sc._evigraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
