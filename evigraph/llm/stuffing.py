@@ -8,10 +8,9 @@ pairs, stuffing repeats the same ones. Lines of bare links are link lists. A pag
 if ``STUFFED_SHARE`` of the text that can be judged isn't writing. Code, and tables without
 links, are not judged; an East Asian character weighs as two others.
 
-Plan: one Arrow pass turns texts into (document, segment, pair) rows of 64-bit hashes; the
-pair counts are partial-aggregated before their shuffle; marginals come from the distinct
-pairs and are looked up by size-checked joins; the rows meet the coherent pairs in one join
-whose build side has one row per pair, and segments and pages are summed with partial
+Plan: an Arrow pass sums pair counts per batch before their shuffle and the pair table is
+written once; marginals come from it and are looked up by size-checked joins; a second
+pass yields (document, segment, pair) rows that meet the scored pairs in one join whose build side has one row per pair, and segments and pages are summed with partial
 aggregates. A hot word or pair is a hot key only on the probe side, which adaptive skew
 handling splits. All counts are over all documents.
 
@@ -23,7 +22,6 @@ empty result; very long texts take one pass like any other.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.textnorm import URL, fold
-from evigraph.session import lookup_join
+from evigraph.session import cut, lookup_join
 
 COHERENT_PMI = 1.0
 #: Documents that must support a pair.
@@ -99,8 +97,9 @@ def segments(text: str) -> list[tuple[int, bool, list[str]]]:
     return out
 
 
-_TOKENS = "doc_id bigint, seg int, chars int, link boolean, a bigint, b bigint, pair bigint, n int, weight int, excess boolean, small boolean"
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_COUNTS = "pair bigint, a bigint, b bigint, weight bigint, support bigint"
+_ROWS = "doc_id bigint, seg int, chars int, link boolean, small boolean, pair bigint, n int, excess boolean"
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,70 +109,107 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h * _MIX_A
 
 
-def _rows(doc_id: int, text: str, out: dict[str, list]) -> None:
-    segs = segments(text)
-    total, first = Counter(), set()
-    per = []
-    for chars, link, words in segs:
-        hs = [_word_hash(w) for w in words]
-        c = Counter(zip(hs, hs[1:], strict=False))
-        per.append((chars, link, c))
-        total.update(c)
-    n_all = sum(total.values())
-    support = Counter(k for _, _, c in per for k in c)
-    small = n_all < LEAST_PAIRS and not any(link for _, link, _ in per)
-    for seg, (chars, link, c) in enumerate(per):
-        for (a, b), n in c.items() or [((0, 0), 0)]:
-            whole = total[a, b]
-            fresh = n > 0 and (a, b) not in first
-            if fresh:
-                first.add((a, b))
-            values = (doc_id, seg, chars, link, a, b, n, min(support[a, b], DOC_CAP) if fresh else 0, whole >= EXCESS_COUNT and whole > EXCESS_SHARE * n_all, small)
-            for column, v in zip(out.values(), values, strict=True):
-                column.append(v)
+class Parsed:
+    """Segments and pairs of one batch of pages as flat arrays."""
+
+    def __init__(self, texts: list[str]) -> None:
+        hashes: list[int] = []
+        lengths, chars, link, page = [], [], [], []
+        for k, text in enumerate(texts):
+            for c, bare, words in segments(text):
+                hashes.extend(map(_word_hash, words))
+                lengths.append(len(words))
+                chars.append(c)
+                link.append(bare)
+                page.append(k)
+        self.chars, self.link, self.page = np.array(chars, np.int32), np.array(link, bool), np.array(page, np.int64)
+        h = np.array(hashes, dtype=np.uint64)
+        seg = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.flatnonzero(seg[:-1] == seg[1:]) if len(seg) else np.zeros(0, np.int64)
+        a, b, seg = h[inside], h[inside + 1], seg[inside]
+        pair = pair_hash(a, b)
+        # one row per segment and pair
+        order = np.lexsort((pair, seg))
+        a, b, seg, pair = a[order], b[order], seg[order], pair[order]
+        new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (pair[1:] != pair[:-1])])) if len(seg) else np.zeros(0, np.int64)
+        self.n = np.diff(np.concatenate([new, [len(seg)]])).astype(np.int32)
+        self.a, self.b, self.seg, self.pair = a[new], b[new], seg[new], pair[new]
+        of = self.page[self.seg] if len(self.seg) else np.zeros(0, np.int64)
+        self.total = np.bincount(of, weights=self.n, minlength=len(texts)).astype(np.int64)
+        # occurrences and segments per page and pair
+        self.by_page = np.lexsort((self.pair, of))
+        p, q = of[self.by_page], self.pair[self.by_page]
+        self.first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else np.zeros(0, np.int64)
+        self.segments_with = np.diff(np.concatenate([self.first, [len(p)]]))
+        whole = np.add.reduceat(self.n[self.by_page], self.first) if len(self.first) else np.zeros(0, np.int64)
+        excess = (whole >= EXCESS_COUNT) & (whole > EXCESS_SHARE * self.total[p[self.first]] if len(self.first) else whole > 0)
+        self.excess = np.zeros(len(p), bool)
+        self.excess[self.by_page] = np.repeat(excess, self.segments_with)
+
+    def counts(self) -> pd.DataFrame:
+        """Pair counts of the batch, summed over its pages."""
+        at = self.by_page[self.first]
+        pair, weight = self.pair[at], np.minimum(self.segments_with, DOC_CAP)
+        u, where, back = np.unique(pair, return_index=True, return_inverse=True)
+        return pd.DataFrame({"pair": u.view(np.int64), "a": self.a[at][where].view(np.int64), "b": self.b[at][where].view(np.int64), "weight": np.bincount(back, weights=weight, minlength=len(u)).astype(np.int64), "support": np.bincount(back, minlength=len(u)).astype(np.int64)})
+
+    def rows(self, ids: np.ndarray) -> pd.DataFrame:
+        """(document, segment, pair) rows; segments without pairs keep one row with n = 0."""
+        lone = np.setdiff1d(np.arange(len(self.page)), self.seg)
+        seg = np.concatenate([self.seg, lone]).astype(np.int64)
+        linked = np.bincount(self.page, weights=self.link, minlength=len(ids)) > 0
+        small = (self.total < LEAST_PAIRS) & ~linked
+        page = self.page[seg]
+        zero = np.zeros(len(lone), np.int64)
+        return pd.DataFrame({
+            "doc_id": ids[page], "seg": seg.astype(np.int32), "chars": self.chars[seg], "link": self.link[seg], "small": small[page],
+            "pair": np.concatenate([self.pair.view(np.int64), zero]), "n": np.concatenate([self.n, zero]).astype(np.int32), "excess": np.concatenate([self.excess, zero > 0]),
+        })
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+
+
+def pair_counts(documents: DataFrame) -> DataFrame:
+    """(pair, a, b, s, support) over all documents; batches are summed before the shuffle."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield Parsed(batch["text"].tolist()).counts()
+
+    counted = _texts(documents).mapInPandas(count, _COUNTS)
+    return counted.groupBy("pair", "a", "b").agg(F.sum("weight").alias("s"), F.sum("support").alias("support"))
 
 
 def pair_rows(documents: DataFrame) -> DataFrame:
     """One row per document, segment and pair of neighbouring words."""
-    names = ["doc_id", "seg", "chars", "link", "a", "b", "n", "weight", "excess", "small"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in names}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                _rows(doc_id, text, out)
-                if len(out["doc_id"]) > 200_000:
-                    yield _frame(out)
-                    out = {k: [] for k in names}
-            yield _frame(out)
-
-    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(parse, _TOKENS)
+            yield Parsed(batch["text"].tolist()).rows(batch["doc_id"].to_numpy())
 
+    return _texts(documents).mapInPandas(parse, _ROWS)
 
-def _frame(out: dict[str, list]) -> pd.DataFrame:
-    a, b = np.array(out["a"], dtype=np.uint64), np.array(out["b"], dtype=np.uint64)
-    kinds = {"doc_id": np.int64, "seg": np.int32, "chars": np.int32, "link": bool, "n": np.int32, "weight": np.int32, "excess": bool, "small": bool}
-    made = {k: np.array(out[k], dtype=t) for k, t in kinds.items()}
-    made |= {"a": a.view(np.int64), "b": b.view(np.int64), "pair": pair_hash(a, b).view(np.int64)}
-    return pd.DataFrame(made)
 
+def collocations(documents: DataFrame) -> DataFrame:
+    """(pair, pmi) of the pairs with enough support.
 
-def collocations(rows: DataFrame) -> DataFrame:
-    """(pair, support, pmi) over all documents."""
-    pairs = rows.where("weight > 0").groupBy("pair", "a", "b").agg(F.sum("weight").alias("s"), F.count("*").alias("support"))
+    The pair table is written once, since marginals, total and scores all read it.
+    """
+    pairs = cut(pair_counts(documents))
     left = pairs.groupBy("a").agg(F.sum("s").alias("sa"))
     right = pairs.groupBy("b").agg(F.sum("s").alias("sb"))
     total = pairs.agg(F.sum("s")).first()[0] or 1
     joined = lookup_join(lookup_join(pairs.where(F.col("support") >= LEAST_SUPPORT), left, ["a"], "inner"), right, ["b"], "inner")
     pmi = F.log(F.col("s") * F.lit(float(total)) / (F.col("sa").cast("double") * F.col("sb")))
-    return joined.select("pair", "support", pmi.alias("pmi"))
+    return joined.select("pair", pmi.alias("pmi"))
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, judged, stuffed, mean_pmi): characters judged and characters that aren't writing."""
-    rows = pair_rows(documents)
-    good = collocations(rows)
-    scored = rows.select("doc_id", "seg", "chars", "link", "pair", "n", "excess", "small").join(good, "pair", "left")
+    good = collocations(documents)
+    scored = pair_rows(documents).join(good, "pair", "left")
     coherent = (F.col("pmi") >= COHERENT_PMI) & ~F.col("excess")
     per_segment = scored.groupBy("doc_id", "seg").agg(
         F.first("chars").alias("chars"), F.first("link").alias("link"), F.first("small").alias("small"), F.sum("n").alias("n"),
