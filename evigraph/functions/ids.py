@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.functions.text import strip
 
@@ -183,19 +184,19 @@ def arity(signature_text: str) -> int:
     return n
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def signature_of(members: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for m in members:
         yield m.map(lambda t: None if t is None else signature(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda x: None if x is None else percent_encode(x))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def arity_of(members: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for m in members:
         yield m.map(lambda t: None if t is None else arity(t))

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys (letters and digits, lower case) whose values are replaced, and fragments that betray one.
 SECRET_KEYS = ("password", "passwd", "pwd", "secret", "token", "authorization", "cookie", "setcookie", "apikey", "accesskey", "privatekey", "credential", "sessionid")
@@ -97,7 +98,7 @@ def _dollar_quote(text: str, at: int) -> int:
     return close + len(tag) if close >= 0 else 0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def masked_sql(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
         yield t.map(lambda x: None if x is None else mask_sql(x))

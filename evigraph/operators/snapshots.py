@@ -20,6 +20,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.functions.canon import attributes_digest
 from evigraph.functions.text import strip
@@ -30,7 +31,7 @@ NODE_FIELDS = ("type", "display_name", "description", "attributes", "metadata")
 _PAIR, _PART = "\u0001", "\u0002"
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _attributes_digest(flat: pd.Series, span: pd.Series) -> pd.Series:
     out = []
     for text, is_span in zip(flat, span, strict=True):
