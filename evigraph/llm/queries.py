@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import encoding, leakage, stuffing
+from evigraph.llm import encoding, leakage, pii, stuffing
 from evigraph.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_items(*[table(spark, sf_dir, n) for n in ("tasks", "audit_logs", "traces")])
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with typed placeholders in place of the items."""
+    return pii.redacted(pii.text_rows(*[table(spark, sf_dir, n) for n in ("tasks", "audit_logs", "traces")]))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(table(spark, sf_dir, "documents"))
 
@@ -27,5 +36,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_ids, p8_found, p8_report, p9_found)}
 SQL: dict[str, str] = {}
