@@ -28,8 +28,8 @@ _TEXT = frozenset(TEXTS)
 # The shapes of a catalog relation and of an endpoint parameter, first match holds.
 RELATION_RULES = [
     Rule("relation", {"schema": _TEXT, "name": _TEXT}, frozenset({"columns", "constraints", "kind"})),
-    Rule("envelope", {"data": frozenset({"relation"})}),
-    Rule("envelope", {"relation": frozenset({"relation"})}),
+    Rule("envelope", {"data": frozenset({"relation", "envelope"})}),
+    Rule("envelope", {"relation": frozenset({"relation", "envelope"})}),
     Rule("foreign_key", {"name": _TEXT, "columns": frozenset({"list:text", "list:empty", "array_text", "text"})}, frozenset({"referencedtable"})),
     Rule("check", {"name": _TEXT, "definition": _TEXT}, frozenset({"type"})),
     Rule("key", {"name": _TEXT, "columns": frozenset({"list:text", "list:empty", "array_text", "text", "map:empty"})}, frozenset({"type"})),
@@ -148,8 +148,8 @@ def parameter_rows(nodes: DataFrame) -> DataFrame:
 def span_rows(traces: DataFrame) -> DataFrame:
     """Spans under their parent span, or under the trace if the parent is in no row of it."""
     spans = (
-        traces.select("trace_id", F.inline("spans")).where(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull())
-        .select("trace_id", "span_id", F.nullif("parent_span_id", F.lit("")).alias("parent")).distinct()
+        traces.select("trace_id", F.explode("spans").alias("s")).where(F.col("trace_id").isNotNull() & F.col("s.span_id").isNotNull())
+        .select("trace_id", F.col("s.span_id").alias("span_id"), F.nullif("s.parent_span_id", F.lit("")).alias("parent")).distinct()
     )
     there = spans.select("trace_id", F.col("span_id").alias("parent")).distinct().withColumn("__found", F.lit(True))
     with_parent = spans.where("parent is not null").join(there, ["trace_id", "parent"], "left")
@@ -161,8 +161,8 @@ def span_rows(traces: DataFrame) -> DataFrame:
 
 
 def event_rows(traces: DataFrame) -> DataFrame:
-    spans = traces.select("trace_id", F.inline("spans")).where(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull())
-    events = spans.select(F.concat_ws(":", "trace_id", "span_id").alias("parent_key"), F.posexplode("events.name").alias("at", "child_key"))
+    spans = traces.select("trace_id", F.explode("spans").alias("s")).where(F.col("trace_id").isNotNull() & F.col("s.span_id").isNotNull())
+    events = spans.select(F.concat_ws(":", "trace_id", "s.span_id").alias("parent_key"), F.posexplode("s.events.name").alias("at", "child_key"))
     return (
         events.where(F.col("child_key").isNotNull())
         .select(F.lit("event").alias("child_kind"), "parent_key", "child_key", (F.col("at") + 1).alias("pos"))

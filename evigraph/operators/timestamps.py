@@ -180,8 +180,8 @@ def stamps_of_tasks(tasks: DataFrame) -> DataFrame:
 
 
 def stamps_of_evidence(declarations: DataFrame) -> DataFrame:
-    each = declarations.select(F.col("collector_zone").alias("zone"), F.inline("evidence"))
-    parsed = each.select(F.col("id").alias("row_key"), "zone", kept(components(F.col("observed_at"))).alias("parts"))
+    each = declarations.select(F.col("collector_zone").alias("zone"), F.explode("evidence").alias("e"))
+    parsed = each.select(F.col("e.id").alias("row_key"), "zone", kept(components(F.col("e.observed_at"))).alias("parts"))
     return _rows("endpoint_declarations", with_utc_micros(parsed, F.col("zone"), F.lit(True)))
 
 
