@@ -10,7 +10,7 @@ the index, broadcast after a check of its size, and the documents stream past it
   number of one-row bands whose chance to miss it is at most ``MISS``.
 * A block whose MinHash meets a window's in any band makes a candidate, which is verified
   exactly: shared five-word shingles fix the diagonals, and a leak is a run along one diagonal
-  of at least 12 item words, at most one in eight of them replaced.
+  of at least 12 item words, at most one in eight of them replaced, the first and last kept.
 
 There is no shuffle but the final distinct. Items beyond ``MOST_WINDOWS`` are searched in
 further blocks of items, each over all documents.
@@ -180,15 +180,17 @@ class ItemIndex:
 
 
 def holds_run(item: np.ndarray, doc: np.ndarray, diagonal: int) -> bool:
-    """A run of 12 or more item words at ``doc[i + diagonal]``, at most one in eight replaced."""
+    """A run of 12 or more item words at ``doc[i + diagonal]``, at most one in eight replaced.
+
+    A run begins and ends with words that are kept; a strange word at its edge isn't part of it.
+    """
     first, last = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if last - first < WINDOW:
         return False
-    wrong = np.concatenate([[0], np.cumsum(item[first:last] != doc[first + diagonal : last + diagonal])])
-    for length in range(WINDOW, last - first + 1):
-        if (wrong[length:] - wrong[:-length]).min() * REPLACED_OF <= length:
-            return True
-    return False
+    kept = np.flatnonzero(item[first:last] == doc[first + diagonal : last + diagonal])
+    length = kept[None, :] - kept[:, None] + 1
+    count = np.arange(len(kept))[None, :] - np.arange(len(kept))[:, None] + 1
+    return bool(((length >= WINDOW) & ((length - count) * REPLACED_OF <= length)).any())
 
 
 def _opening(text: str) -> str:

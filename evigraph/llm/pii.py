@@ -199,8 +199,8 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
 
 def text_rows(tasks: DataFrame, audit_logs: DataFrame, traces: DataFrame) -> DataFrame:
     """(src_table, row_key, field, text) of all texts; field is the attribute's name."""
-    spans = traces.select("trace_id", F.inline("spans")).where(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull())
-    events = spans.select("trace_id", "span_id", F.posexplode("events").alias("at", "event"))
+    spans = traces.select("trace_id", F.explode("spans").alias("s")).where(F.col("trace_id").isNotNull() & F.col("s.span_id").isNotNull())
+    events = spans.select("trace_id", F.col("s.span_id").alias("span_id"), F.posexplode("s.events").alias("at", "event"))
     attributes = events.select("trace_id", "span_id", "at", F.explode("event.attributes").alias("field", "text"))
     frames = [
         tasks.select(F.lit("tasks").alias("src_table"), F.col("id").cast("string").alias("row_key"), F.lit("").alias("field"), F.col("description").alias("text")),
