@@ -2,14 +2,16 @@
 
 A span's form is the digest of its own identity and the sorted forms of its children, bottom
 up; siblings of equal identity are told apart by an ordinal in the order of their forms. A
-cycle is opened at its least identity. Traces are independent groups: the recursion has no
-built-in, so each trace goes through ``applyInPandas``; a trace is one request's spans and is
-bounded by ``MOST_SPANS``, beyond which a span is labelled by its own identity and id.
+cycle is opened at its least identity. Traces are independent; the recursion has no built-in,
+so traces stream through one Arrow pass over partitions sorted by trace. A trace is one
+request's spans and is bounded by ``MOST_SPANS``, beyond which a span is labelled by its own
+identity and id.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,15 +67,29 @@ def label_trace(ids: list[str], parents: list[str | None], identities: list[str]
 def span_labels(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, label) of spans with trace_id, span_id, parent_span_id, identity; rows are distinct first."""
 
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("span_id")
-        made = label_trace(group["span_id"].tolist(), group["parent_span_id"].where(group["parent_span_id"].notna(), None).tolist(), group["identity"].tolist())
-        return pd.DataFrame({"trace_id": group["trace_id"], "span_id": group["span_id"], "label": [made[s] for s in group["span_id"]]})
+    def finish(trace: str, held: list[tuple]) -> list[tuple]:
+        unique = {s: (p, i) for s, p, i in reversed(held)}
+        made = label_trace(list(unique), [p for p, _ in unique.values()], [i for _, i in unique.values()])
+        return [(trace, s, made[s]) for s in unique]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trace, held = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for t, s, p, i in b.itertuples(index=False):
+                if t != trace:
+                    out += finish(trace, held) if held else []
+                    trace, held = t, []
+                held.append((s, p, i))
+            yield pd.DataFrame(out, columns=["trace_id", "span_id", "label"])
+        if held:
+            yield pd.DataFrame(finish(trace, held), columns=["trace_id", "span_id", "label"])
 
     rows = spans.select("trace_id", "span_id", "parent_span_id", "identity").where("trace_id is not null and span_id is not null").distinct()
     size = rows.groupBy("trace_id").agg(F.count("*").alias("__n"))
     fit = size.where(F.col("__n") <= MOST_SPANS).select("trace_id")
-    small = rows.join(fit, "trace_id", "left_semi").groupBy("trace_id").applyInPandas(label, "trace_id string, span_id string, label string")
+    grouped = rows.join(fit, "trace_id", "left_semi").repartition("trace_id").sortWithinPartitions("trace_id", "span_id", "identity")
+    small = grouped.select("trace_id", "span_id", "parent_span_id", "identity").mapInPandas(label, "trace_id string, span_id string, label string")
     large = rows.join(fit, "trace_id", "left_anti").select("trace_id", "span_id", F.substring(F.sha2(F.concat_ws("\u0000", F.lit("flat"), "identity", "span_id"), 256), 1, 24).alias("label"))
     return small.unionByName(large)
 

@@ -68,19 +68,15 @@ def endpoint_path_key(path: Column) -> Column:
 
 
 def precedence(value: Column, order: Sequence[str]) -> Column:
-    """Rank of ``value`` in ``order``, best highest; 0 for anything else."""
-    up = F.upper(strip(value))
-    rank = F.lit(0)
-    for i, name in enumerate(order):
-        rank = F.when(up == name, len(order) - i).otherwise(rank)
-    return rank
+    """Rank of ``value`` in ``order`` in any case, best highest; 0 for anything else."""
+    ranked = F.array(*[F.lit(name) for name in reversed(order)])
+    return F.coalesce(F.array_position(ranked, F.upper(strip(value))), F.lit(0)).cast("int")
 
 
 def best_confidence(evidence: Column) -> Column:
     """Highest confidence rank among the evidence; none, null or unheard of count as UNKNOWN."""
     floor = len(CONFIDENCE_ORDER) - CONFIDENCE_ORDER.index("UNKNOWN")
-    rank = lambda e: F.greatest(precedence(e["confidence"], CONFIDENCE_ORDER), F.lit(0))
-    ranks = F.transform(F.filter(evidence, lambda e: e.isNotNull()), lambda e: F.when(rank(e) == 0, floor).otherwise(rank(e)))
+    ranks = F.transform(evidence, lambda e: F.coalesce(F.nullif(precedence(e["confidence"], CONFIDENCE_ORDER), F.lit(0)), F.lit(floor)))
     return F.coalesce(F.array_max(ranks), F.lit(floor))
 
 

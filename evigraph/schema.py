@@ -60,11 +60,9 @@ EVIDENCE = T.StructType([
 
 
 def coded(value: Column, table: dict[str, object], other: object = None) -> Column:
-    """``table[value]`` inside code generation; ``other`` for anything else."""
-    out = F.lit(other)
-    for k, v in table.items():
-        out = F.when(value == k, F.lit(v)).otherwise(out)
-    return out
+    """``table[value]``, ``other`` for anything else; the table is one folded literal, so ``value`` is evaluated once."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
+    return found if other is None else F.coalesce(found, F.lit(other))
 
 
 def ordinal(value: Column, names: tuple[str, ...]) -> Column:
