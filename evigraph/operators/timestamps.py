@@ -6,7 +6,7 @@ so the regex runs once per stamp inside the JVM. Components are checked against
 and assembled by integer day arithmetic; only a wall-clock time consults zone rules.
 
 Defined results: null, blank, wordy and impossible stamps give null; a stamp's own offset,
-abbreviation or ``Z`` counts before the row's zone; a null or blank zone is UTC, an unheard-of
+abbreviation or ``Z`` counts first, then the zone in its brackets, then the row's zone; a null or blank zone is UTC, an unheard-of
 one makes wall-clock stamps unreadable; a wall-clock time that occurs twice is the earlier
 instant, a skipped one is read with the offset before the change; digits finer than
 microseconds are cut off; missing parts are zero.
@@ -36,7 +36,7 @@ ABBREVIATIONS = {
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _CLOCK = r"(?<h>\d{1,2}):(?<mi>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d+))?)?"
-_ZONE = r"(?:\s*(?:(?<off>[+\-]\d{2}(?::?\d{2})?)|(?<abbr>[A-Za-z]{1,5})))?(?:\[[^\]]*\])?"
+_ZONE = r"(?:\s*(?:(?<off>[+\-]\d{2}(?::?\d{2})?)|(?<abbr>[A-Za-z]{1,5})))?(?:\[(?<br>[^\]]*)\])?"
 _HALF = r"(?:\s*(?<ap>[AaPp])\.?[Mm]\.?)"
 _NAME = r"(?<mon>[A-Za-z]{3})[A-Za-z]*\.?"
 #: The formats; an alternative may leave out any group.
@@ -51,7 +51,7 @@ FORMATS = {
     "name_day": rf"(?:[A-Za-z]{{3,9}},\s+)?{_NAME}\s+(?<d>\d{{1,2}}),?\s+(?<y>\d{{4}})(?:,?\s+{_CLOCK}(?:{_HALF}|{_ZONE}))?",
     "kanji": r"(?<y>\d{4})年\s*(?<mo>\d{1,2})月\s*(?<d>\d{1,2})日(?:\s*(?<h>\d{1,2})時(?:(?<mi>\d{1,2})分(?:(?<s>\d{1,2})秒)?)?)?",
 }
-GROUPS = ("y", "mo", "d", "mon", "sa", "sb", "doy", "h", "mi", "s", "f", "ap", "off", "abbr", "ep")
+GROUPS = ("y", "mo", "d", "mon", "sa", "sb", "doy", "h", "mi", "s", "f", "ap", "off", "abbr", "br", "ep")
 _MARK, _GAP = "\u0001", "\u0002"
 
 
@@ -129,7 +129,8 @@ def with_utc_micros(df: DataFrame, zone: Column, day_first: Column, out: str = "
     digits = f"regexp_replace(substring({off}, 2), ':', '')"
     zones = ", ".join(f"'{z}'" for z in known_zones())
     first = (
-        df.withColumns({"__p": F.col("parts"), "__df": F.coalesce(day_first, F.lit(True)), "__zone": F.coalesce(F.nullif(strip(zone), F.lit("")), F.lit("UTC"))})
+        df.withColumns({"__p": F.col("parts"), "__df": F.coalesce(day_first, F.lit(True)), "__row_zone": zone})
+        .withColumn("__zone", F.coalesce(F.expr(n["br"]), F.nullif(strip(F.col("__row_zone")), F.lit("")), F.lit("UTC")))
         .withColumns({
             "__y": F.expr(whole("y")),
             "__m": F.expr(f"coalesce({whole('mo')}, case when {n['mon']} is not null then cast({month_name} as bigint) when {n['sa']} is not null then if(__df, {whole('sb')}, {whole('sa')}) when {n['doy']} is not null then 1 end)"),

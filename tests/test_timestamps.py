@@ -46,6 +46,7 @@ def utc(*a, us=0):
         ("2024-10-27T02:30:00", "Europe/Berlin", utc(2024, 10, 27, 0, 30)),
         ("2024-03-31 02:30", "Europe/Berlin", utc(2024, 3, 31, 1, 30)),
         ("2024-01-05", " ", utc(2024, 1, 5)),
+        ("2024-07-01T12:00[Europe/Berlin]", "Asia/Tokyo", utc(2024, 7, 1, 10)),
     ],
 )
 def test_forms(spark, stamp, zone, want):
