@@ -77,5 +77,17 @@ def lookup_join(
     return salted.join(spread, [*on, salt], how).drop(salt)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over enough tasks for a costly pass.
+
+    Few large files make few tasks. Only then rows are dealt out round robin, so that no key
+    is hot; a scan that already has two tasks a core, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(4 * cores)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b), frames)
