@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import prefixbpe
+from evigraph.session import spread
 
 _LOADED: dict[str, prefixbpe.PrefixEncoder] = {}
 
@@ -37,4 +38,4 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
         for b in batches:
             yield pd.Series([enc.encode(t) for t in b], dtype=object)
 
-    return documents.select(key, ids(F.col(text)).alias("ids"))
+    return spread(documents.select(key, text)).select(key, ids(F.col(text)).alias("ids"))

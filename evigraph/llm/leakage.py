@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.textnorm import URL, fold
-from evigraph.session import union_all
+from evigraph.session import spread, union_all
 
 WINDOW, SHINGLE = 12, 5
 IN_WINDOW = WINDOW - SHINGLE + 1
@@ -222,7 +222,7 @@ def _search(documents: DataFrame, index: ItemIndex) -> DataFrame:
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id"])
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.mapInPandas(scan, "doc_id bigint, item_id bigint")
+    return spread(texts).mapInPandas(scan, "doc_id bigint, item_id bigint")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

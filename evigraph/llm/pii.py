@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import tagger
 from evigraph.llm.tagger import LABELS
-from evigraph.session import union_all
+from evigraph.session import spread, union_all
 
 WINDOW, OVERLAP = 240, 72
 
@@ -218,7 +218,7 @@ def _tagged(rows: DataFrame) -> DataFrame:
             found = [(src, key, kind, t[a:b]) for (src, key, _, t), own in zip(parts, items, strict=True) for a, b, kind in own]
             yield pd.DataFrame(found, columns=["src_table", "row_key", "pii_kind", "pii_text"])
 
-    return rows.select("src_table", "row_key", "field", "text").mapInPandas(scan, "src_table string, row_key string, pii_kind string, pii_text string")
+    return spread(rows.select("src_table", "row_key", "field", "text")).mapInPandas(scan, "src_table string, row_key string, pii_kind string, pii_text string")
 
 
 def found_items(tasks: DataFrame, audit_logs: DataFrame, traces: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def redacted(rows: DataFrame) -> DataFrame:
             batch["redacted"] = [_rewrite(text, swap) for text, swap in zip(batch["text"], new, strict=True)]
             yield batch[["src_table", "row_key", "field", "redacted"]]
 
-    return rows.select("src_table", "row_key", "field", "text").mapInPandas(scan, "src_table string, row_key string, field string, redacted string")
+    return spread(rows.select("src_table", "row_key", "field", "text")).mapInPandas(scan, "src_table string, row_key string, field string, redacted string")
 
 
 def _rewrite(text: str, swap: dict[str, str]) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.textnorm import URL, fold
-from evigraph.session import cut, lookup_join
+from evigraph.session import cut, lookup_join, spread
 
 COHERENT_PMI = 1.0
 #: Documents that must support a pair.
@@ -168,7 +168,7 @@ class Parsed:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    return spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
