@@ -130,7 +130,20 @@ union
 select 'event', trace_id || ':' || span_id, e.name, cast(pos as integer) from ev where e.name is not null
 """
 
+_PRESENCE = """
+with s as (select project_id, snapshot_no, lag(snapshot_no) over (partition by project_id order by snapshot_no) as prev from (select distinct project_id, snapshot_no from nodes)),
+n as (select distinct project_id, snapshot_no, node_id from nodes where project_id is not null and snapshot_no is not null and node_id is not null),
+a as (select n.project_id, n.snapshot_no, 'added' as change_kind from n join s using (project_id, snapshot_no) where s.prev is not null and not exists (select 1 from n o where o.project_id = n.project_id and o.snapshot_no = s.prev and o.node_id = n.node_id)),
+r as (select o.project_id, s.snapshot_no, 'removed' as change_kind from n o join s on s.project_id = o.project_id and s.prev = o.snapshot_no where not exists (select 1 from n where n.project_id = o.project_id and n.snapshot_no = s.snapshot_no and n.node_id = o.node_id))
+select project_id, snapshot_no, change_kind, count(*) as nodes from (select * from a union all select * from r) group by all
+"""
+
 SQL = {
+    "p1_canonical": _P1_BASE
+    + "select project_id, m as http_method, p as path, min(group_id) as group_id, "
+    + ", ".join(f"max(val) filter (field_name = '{f}') as {f}" for f in survivor.ENDPOINT_FIELDS)
+    + " from w where rn = 1 group by all",
+    "p3_presence": _PRESENCE,
     "p1_found": _P1_BASE + "select group_id, field_name, declaration_id from w where rn = 1",
     "p6_found": _ORPHANS + "select * from found",
     "p6_report": _ORPHANS + "select src_table, ref_field, month_key, orphan_kind, count(distinct row_key) as orphans from found group by all",
