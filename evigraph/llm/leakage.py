@@ -158,11 +158,13 @@ class ItemIndex:
             low = upper
             if not len(at):
                 continue
-            reach = start[at][:, None] + np.arange(upper)
-            reach = np.minimum(reach, (start[at] + size[at] - 1)[:, None])  # short blocks repeat their last shingle
-            x_at = x[reach]
+            # one row per place in a block, so that minima run along memory; short blocks repeat their last shingle
+            x_at = x[np.minimum(start[at] + np.arange(upper)[:, None], start[at] + size[at] - 1)]
+            hashed = np.empty_like(x_at)
             for p in range(n_bands):
-                m = (x_at * _A[p] + _B[p]).min(axis=1)
+                np.multiply(x_at, _A[p], out=hashed)
+                hashed += _B[p]
+                m = hashed.min(axis=0)
                 slot = m & np.uint32((1 << _BITS) - 1)
                 hit = np.flatnonzero((self.bitmap[p][slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8)) & 1)
                 if len(hit):
