@@ -1,18 +1,26 @@
 """Keyword-stuffed and link-list pages by collocations (problem 9).
 
 A page is cut into segments (sentences inside lines). Corpus counts of neighbouring words
-give every pair its pointwise mutual information (PMI); a pair is coherent if its PMI is at
-least ``COHERENT_PMI`` with enough support. A segment is writing if enough of its pairs are
-coherent and not excessively repeated collocations of the page; word salad has few coherent
-pairs, stuffing repeats the same ones. Lines of bare links are link lists. A page is flagged
-if ``STUFFED_SHARE`` of the text that can be judged isn't writing. Code, and tables without
-links, are not judged; an East Asian character weighs as two others.
+give every pair its strength, the larger of P(next word | word) and P(word | next word). Unlike
+mutual information it compares a pair with its own words only, so that it neither grows with
+the corpus nor is high for chance pairs of words that occur on spam pages alone. A pair is
+coherent from a given strength, if it isn't repeated too often on the page or in the segment.
+A segment is writing if enough of its pairs are coherent and at most half are repeated; word
+salad has few coherent pairs, stuffing and tag lists repeat the same ones (numbers count as
+one word). Lines of bare links are link lists, many items of one form with a number a tag list. A page is flagged if ``STUFFED_SHARE`` of the
+text that can be judged isn't writing. Code, and tables without links, are not judged; an East
+Asian character weighs as two others.
+
+Pages are judged twice. The first time counts of all pages are used, strictly: what has
+``SUSPECT_SHARE`` of text that isn't writing is suspect. The counts of suspect pages are then
+taken out, and suspect pages are judged by those of the others alone, so that neither a page
+nor its like speak for it.
 
 Plan: an Arrow pass sums pair counts per batch before their shuffle and the pair table is
 written once; marginals come from it and are looked up by size-checked joins; a second
 pass yields (document, segment, pair) rows that meet the scored pairs in one join whose build side has one row per pair, and segments and pages are summed with partial
-aggregates. A hot word or pair is a hot key only on the probe side, which adaptive skew
-handling splits. All counts are over all documents.
+aggregates. Suspect pages take both passes again. A hot word or pair is a hot key only on the
+probe side, which adaptive skew handling splits. All counts are over all documents.
 
 Defined results: null, empty and blank texts and texts of fewer than ``LEAST_PAIRS`` pairs
 without links are never flagged; a null ``doc_id`` gives no row; an empty table gives an
@@ -22,6 +30,7 @@ empty result; very long texts take one pass like any other.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,23 +43,28 @@ from pyspark.sql import functions as F
 from evigraph.llm.textnorm import URL, fold
 from evigraph.session import cut, lookup_join, spread
 
-COHERENT_PMI = 1.0
-#: Documents that must support a pair.
+#: Strength from which a pair is coherent, by the counts of all pages and by those of pages that aren't suspect.
+SUSPECT_STRENGTH, COHERENT_STRENGTH = 0.08, 0.02
+#: Documents that must support a pair; against chance in rare words, not a measure of coherence.
 LEAST_SUPPORT = 5
-#: Coherent share of a segment's pairs from which it is writing.
-WRITING_SHARE = 0.37
+#: Coherent share of a segment's pairs from which it is writing, and repeated share up to which it is.
+WRITING_SHARE, REPEATED_SHARE = 0.3, 0.5
+#: Share of the judged text that isn't writing from which a page is suspect.
+SUSPECT_SHARE = 0.3
 #: Share of the judged text that isn't writing from which a page is flagged. Chance collocations
 #: inside stuffing pass for writing now and then, so that the measured half lies a little lower.
 STUFFED_SHARE = 0.45
 #: A collocation is excessive from this many occurrences, if it makes up this share of the page's pairs.
 EXCESS_COUNT, EXCESS_SHARE = 4, 0.10
-#: One document adds at most this much to a pair's count.
-DOC_CAP = 3
+#: Occurrences in one segment from which a collocation is repeated.
+SEGMENT_REPEATS = 3
 LEAST_PAIRS = 8
 #: Characters of stuffing that a flagged page has at least.
 LEAST_STUFFED = 100
 #: Characters that one link counts for, and words up to which a line with links is a bare link.
 LINK_CHARS, LINK_WORDS = 40, 7
+#: Items from which a segment may be a tag list, and the share of them that has one form, with a number.
+TAG_ITEMS, TAG_SHARE = 8, 0.8
 _LINK = "\ue000"
 
 _BLOCK = re.compile(r"</?(?:br|p|li|ul|ol|div|tr|td|th|h[1-6]|table)\b[^<>]*>", re.IGNORECASE)
@@ -59,20 +73,30 @@ _TAG = re.compile(r"<[^<>]{0,400}>")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[一-鿿々]+|[ぁ-ゖ]+|[ァ-ヺー]+|[^\W_]+(?:['’][^\W_]+)?")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_ITEM = re.compile(r"[;,|｜*•、]")
 _CODE = re.compile(r"/\*|\*/|[{};]\s*$|^\s*(?:at [\w.$]+\(|@\w+|\$ |>>> )|[=!]=|[\w)]\(\)|^\s*\"[^\"]*\"\s*[:,]")
 
 
 @lru_cache(maxsize=400_000)
 def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+    return xxhash.xxh64_intdigest("0" if word.isdigit() else word)
 
 
 def _weight(text: str) -> int:
     return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
 
 
+def _tag_list(text: str) -> bool:
+    """Whether a segment lists items of one form, such as a code, a size and a word."""
+    items = _ITEM.split(text) if any(c.isdigit() for c in text) else ()
+    if len(items) < TAG_ITEMS:
+        return False
+    forms = Counter(tuple(w.isdigit() for w in _WORD.findall(i)) for i in items)
+    return max((n for f, n in forms.items() if len(f) > 2 and any(f) and not all(f)), default=0) >= TAG_SHARE * len(items)
+
+
 def segments(text: str) -> list[tuple[int, bool, list[str]]]:
-    """(characters, bare link, words) of the segments that can be judged."""
+    """(characters, list of links or tags, words) of the segments that can be judged."""
     text = fold(text)
     text = _ANCHOR.sub(f" {_LINK} ", _BLOCK.sub("\n", text))
     text = URL.sub(f" {_LINK} ", text)
@@ -86,14 +110,14 @@ def segments(text: str) -> list[tuple[int, bool, list[str]]]:
         if not s or fenced or (s.startswith("|") and not links) or _CODE.search(s):
             continue
         s = _TAG.sub(" ", s)
-        parts = [(_weight(p.strip()), [w.lower() for w in _WORD.findall(p)]) for p in _SENTENCE.split(s) if p.strip()]
-        parts = [(n, w) for n, w in parts if w or links]
-        words = sum(len(w) for _, w in parts)
+        parts = [(_weight(p.strip()), _tag_list(p), [w.lower() for w in _WORD.findall(p)]) for p in _SENTENCE.split(s) if p.strip()]
+        parts = [(n, t, w) for n, t, w in parts if w or links]
+        words = sum(len(w) for _, _, w in parts)
         if links and words <= LINK_WORDS * links:
             # references beside a sentence stand with it; a line of links alone is a list entry
-            out.append((_weight(s) + LINK_CHARS * links, True, [w for _, ws in parts for w in ws]))
+            out.append((_weight(s) + LINK_CHARS * links, True, [w for _, _, ws in parts for w in ws]))
         else:
-            out.extend((n, False, w) for n, w in parts if len(w) > 1)
+            out.extend((n, tags, w) for n, tags, w in parts if len(w) > 1)
     return out
 
 
@@ -149,7 +173,7 @@ class Parsed:
     def counts(self) -> pd.DataFrame:
         """Pair counts of the batch, summed over its pages."""
         at = self.by_page[self.first]
-        pair, weight = self.pair[at], np.minimum(self.segments_with, DOC_CAP)
+        pair, weight = self.pair[at], self.segments_with
         u, where, back = np.unique(pair, return_index=True, return_inverse=True)
         return pd.DataFrame({"pair": u.view(np.int64), "a": self.a[at][where].view(np.int64), "b": self.b[at][where].view(np.int64), "weight": np.bincount(back, weights=weight, minlength=len(u)).astype(np.int64), "support": np.bincount(back, minlength=len(u)).astype(np.int64)})
 
@@ -192,35 +216,43 @@ def pair_rows(documents: DataFrame) -> DataFrame:
     return _texts(documents).mapInPandas(parse, _ROWS)
 
 
-def collocations(documents: DataFrame) -> DataFrame:
-    """(pair, pmi) of the pairs with enough support.
-
-    The pair table is written once, since marginals, total and scores all read it.
-    """
-    pairs = cut(pair_counts(documents))
+def collocations(pairs: DataFrame) -> DataFrame:
+    """(pair, strength) of the pairs with enough support; ``pairs`` is written, since its marginals read it too."""
     left = pairs.groupBy("a").agg(F.sum("s").alias("sa"))
     right = pairs.groupBy("b").agg(F.sum("s").alias("sb"))
-    total = pairs.agg(F.sum("s")).first()[0] or 1
     joined = lookup_join(lookup_join(pairs.where(F.col("support") >= LEAST_SUPPORT), left, ["a"], "inner"), right, ["b"], "inner")
-    pmi = F.log(F.col("s") * F.lit(float(total)) / (F.col("sa").cast("double") * F.col("sb")))
-    return joined.select("pair", pmi.alias("pmi"))
+    return joined.select("pair", (F.col("s") / F.least("sa", "sb")).alias("strength"))
 
 
-def page_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, judged, stuffed, mean_pmi): characters judged and characters that aren't writing."""
-    good = collocations(documents)
+def page_scores(documents: DataFrame, good: DataFrame, least: float) -> DataFrame:
+    """(doc_id, judged, stuffed, small): characters judged and characters that aren't writing."""
     scored = pair_rows(documents).join(good, "pair", "left")
-    coherent = (F.col("pmi") >= COHERENT_PMI) & ~F.col("excess")
+    repeated = F.col("excess") | (F.col("n") >= SEGMENT_REPEATS)
+    coherent = (F.col("strength") >= least) & ~repeated
     per_segment = scored.groupBy("doc_id", "seg").agg(
         F.first("chars").alias("chars"), F.first("link").alias("link"), F.first("small").alias("small"), F.sum("n").alias("n"),
-        F.sum(F.when(coherent, F.col("n")).otherwise(0)).alias("good"), F.sum(F.col("pmi") * F.col("n")).alias("pmi"),
+        F.sum(F.when(coherent, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(repeated, F.col("n")).otherwise(0)).alias("repeated"),
     )
-    writing = ~F.col("link") & (F.col("good") >= WRITING_SHARE * F.col("n"))
+    writing = ~F.col("link") & (F.col("good") >= WRITING_SHARE * F.col("n")) & (F.col("repeated") <= REPEATED_SHARE * F.col("n"))
     return per_segment.groupBy("doc_id").agg(
-        F.sum("chars").alias("judged"), F.sum(F.when(writing, 0).otherwise(F.col("chars"))).alias("stuffed"),
-        (F.sum("pmi") / F.sum("n")).alias("mean_pmi"), F.bool_or("small").alias("small"),
+        F.sum("chars").alias("judged"), F.sum(F.when(writing, 0).otherwise(F.col("chars"))).alias("stuffed"), F.bool_or("small").alias("small"),
     )
 
 
+def flagged(scores: DataFrame, share: float) -> DataFrame:
+    return scores.where(~F.col("small") & (F.col("stuffed") >= LEAST_STUFFED) & (F.col("stuffed") > share * F.col("judged"))).select("doc_id")
+
+
+def without(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pair table less the counts of some of its documents."""
+    out = pair_counts(documents).select("pair", F.col("s").alias("__s"), F.col("support").alias("__support"))
+    rest = {"s": F.col("s") - F.coalesce("__s", F.lit(0)), "support": F.col("support") - F.coalesce("__support", F.lit(0))}
+    return pairs.join(out, "pair", "left").withColumns(rest).where("support > 0").drop("__s", "__support")
+
+
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    return page_scores(documents).where(~F.col("small") & (F.col("stuffed") >= LEAST_STUFFED) & (F.col("stuffed") > STUFFED_SHARE * F.col("judged"))).select("doc_id")
+    pairs = cut(pair_counts(documents))
+    suspect = cut(flagged(page_scores(documents, collocations(pairs), SUSPECT_STRENGTH), SUSPECT_SHARE))
+    again = documents.join(suspect, "doc_id", "left_semi")
+    good = collocations(cut(without(pairs, again)))
+    return flagged(page_scores(again, good, COHERENT_STRENGTH), STUFFED_SHARE)

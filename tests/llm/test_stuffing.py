@@ -49,3 +49,20 @@ def test_counts_against_brute_force(spark):
     got = {(r["a"], r["b"]): (r["s"], r["support"]) for r in st.pair_counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     sign = lambda w: st._word_hash(w) - (1 << 64) if st._word_hash(w) >= 1 << 63 else st._word_hash(w)
     assert got[sign("a"), sign("b")] == (4, 3) and got[sign("b"), sign("a")] == (1, 1) and got[sign("c"), sign("a")] == (1, 1)
+
+
+def tag_list(r):
+    return "Tags: " + "; ".join(f"{r.choice(['REF', 'SKU', 'ART'])}-{r.randint(100, 9999)} {r.choice(['XL', 'XS', 'lite', 'pro', 'blue', 'red'])} thing{r.randint(1, 60)}" for _ in range(25))
+
+
+def salad(r, spam):
+    return " ".join(r.choice(spam) for _ in range(90))
+
+
+def test_recall_holds_as_the_corpus_grows(spark):
+    spam = [f"spam{i}" for i in range(40)]
+    for times in (1, 10):
+        r = random.Random(times)
+        good = {i: writing(r) for i in range(100 * times)}
+        bad = {10_000 + i: salad(r, spam) if i % 2 else tag_list(r) for i in range(12 * times)}
+        assert flagged(spark, {**good, **bad}.items()) == set(bad)
