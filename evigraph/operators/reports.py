@@ -49,13 +49,13 @@ def provenance_label(observed: Column, asynchronous: Column, direct: Column) ->
     return F.when(observed, "observed").when(asynchronous, "async").when(direct, "direct").otherwise("indirect")
 
 
-def flow_reach(flows: DataFrame, edges: DataFrame, max_depth: int, keys: Sequence[str] = (), max_nodes: int | None = None) -> DataFrame:
+def flow_reach(flows: DataFrame, edges: DataFrame, max_depth: int | None, keys: Sequence[str] = (), max_nodes: int | None = None) -> DataFrame:
     """Everything that flows execute, all flows in one traversal."""
     starts = flows.select(*keys, F.col("id").alias("source"), F.col("id").alias("node"))
     return reach(starts, steps(edges, OUTGOING, EXECUTION_EDGES, keys), max_depth, keys, max_nodes)
 
 
-def table_usage(tables: DataFrame, edges: DataFrame, max_depth: int, keys: Sequence[str] = ()) -> DataFrame:
+def table_usage(tables: DataFrame, edges: DataFrame, max_depth: int | None, keys: Sequence[str] = ()) -> DataFrame:
     """What uses a table, back along usage edges."""
     starts = tables.select(*keys, F.col("id").alias("source"), F.col("id").alias("node"))
     return reach(starts, steps(edges, "INCOMING", USAGE_EDGES, keys), max_depth, keys)

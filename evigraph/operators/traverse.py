@@ -1,4 +1,4 @@
-"""Bounded traversals as frontier loops over one edge table.
+"""Traversals as frontier loops over one edge table.
 
 Every round joins the frontier with the edges, drops what was visited and cuts the lineage in
 the shared checkpoint folder, so that a lost executor costs one round. The stop test is one
@@ -8,9 +8,10 @@ a skewed join key that adaptive execution splits.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.session import cut
@@ -29,8 +30,12 @@ def steps(edges: DataFrame, direction: str = OUTGOING, types: Sequence[str] | No
     return chosen.where(F.col("from").isNotNull() & F.col("to").isNotNull()).distinct()
 
 
-def reach(starts: DataFrame, moves: DataFrame, max_depth: int, keys: Sequence[str] = (), max_nodes: int | None = None) -> DataFrame:
-    """(keys, source, node, depth) of everything within ``max_depth`` steps; starts are always in it.
+def _rounds(max_depth: int | None) -> Iterable[int]:
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def reach(starts: DataFrame, moves: DataFrame, max_depth: int | None, keys: Sequence[str] = (), max_nodes: int | None = None) -> DataFrame:
+    """(keys, source, node, depth) of everything within ``max_depth`` steps (None: any); starts are always in it.
 
     ``starts``: keys, source, node. ``max_nodes`` optionally stops after the round in which a
     total of so many pairs is known.
@@ -38,7 +43,7 @@ def reach(starts: DataFrame, moves: DataFrame, max_depth: int, keys: Sequence[st
     ident = [*keys, "source", "node"]
     frontier = cut(starts.select(*ident).distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in _rounds(max_depth):
         moved = frontier.select(*keys, "source", F.col("node").alias("from")).join(moves, [*keys, "from"])
         fresh = moved.select(*keys, "source", F.col("to").alias("node")).distinct().join(visited.select(*ident), ident, "left_anti")
         frontier = cut(fresh.withColumn("depth", F.lit(depth)))
@@ -50,6 +55,28 @@ def reach(starts: DataFrame, moves: DataFrame, max_depth: int, keys: Sequence[st
     return visited
 
 
+def nearest(starts: DataFrame, moves: DataFrame, max_depth: int | None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, node, depth, source, path) of every node reached, from its nearest source only.
+
+    One row per node, so that the result doesn't grow with sources times nodes. Of equally near
+    sources the least wins and then the path that :func:`shortest_paths` gives: whatever is
+    nearest to a node was nearest to the node before it on the path.
+    """
+    ident = [*keys, "node"]
+    first = starts.groupBy(*ident).agg(F.min("source").alias("source"))
+    frontier = cut(first.select(*ident, F.lit(0).alias("depth"), "source", F.array("node").alias("path")))
+    visited = frontier
+    for depth in _rounds(max_depth):
+        moved = frontier.select(*keys, F.col("node").alias("from"), "source", "path").join(moves, [*keys, "from"])
+        best = moved.groupBy(*keys, F.col("to").alias("node")).agg(F.min(F.struct("source", "path")).alias("__best"))
+        fresh = best.join(visited.select(*ident), ident, "left_anti")
+        frontier = cut(fresh.select(*ident, F.lit(depth).alias("depth"), F.col("__best.source").alias("source"), F.concat("__best.path", F.array("node")).alias("path")))
+        if frontier.isEmpty():
+            break
+        visited = cut(visited.unionByName(frontier)) if depth % 4 == 0 else visited.unionByName(frontier)
+    return visited
+
+
 def shortest_paths(starts: DataFrame, moves: DataFrame, max_depth: int, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, source, node, depth, path): a shortest path to each node reached.
 
@@ -70,16 +97,15 @@ def shortest_paths(starts: DataFrame, moves: DataFrame, max_depth: int, keys: Se
     return visited
 
 
-def impact(changed: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int, keys: Sequence[str] = (), flow_type: str = "E2E_FLOW") -> dict[str, DataFrame]:
+def impact(changed: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int | None, keys: Sequence[str] = (), flow_type: str = "E2E_FLOW") -> dict[str, DataFrame]:
     """Direct and transitive impact of changed nodes in both directions, and the flows reached with their paths."""
     moves = cut(steps(edges, BOTH, None, keys))
     starts = changed.select(*keys, F.col("id").alias("source"), F.col("id").alias("node")).distinct()
-    paths = shortest_paths(starts, moves, max_depth, keys)
+    paths = nearest(starts, moves, max_depth, keys)
     ident = [*keys, "node"]
-    transitive = paths.where("depth > 0").select(*ident).distinct().join(starts.select(*ident), ident, "left_anti")
+    transitive = paths.where("depth > 0").select(*ident)
     flows = nodes.where(F.col("type") == flow_type).select(*keys, F.col("id").alias("node"))
-    w = Window.partitionBy(*keys, "node").orderBy("depth", "source", "path")
-    hit = paths.join(flows, ident, "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    hit = paths.join(flows, ident, "left_semi")
     return {"direct": starts.select(*ident), "transitive": transitive, "flows": hit}
 
 

@@ -306,14 +306,14 @@ def shortest_path(spark, sf):
  union select r.project_id, r.source, x.src, r.depth + 1 from r join x on x.project_id = r.project_id and x.dst = r.node where r.depth < 3 and x.src is not null) select project_id, source, node, min(depth) as depth from r group by 1, 2, 3""")
 def reverse_usage(spark, sf):
     n, e = graph(spark, sf)
-    return reports.table_usage(n.where("type = 'DB_TABLE'"), e, 3, KEYS)
+    return reports.table_usage(n.where("type = 'DB_TABLE'"), e, None, KEYS)
 
 
 @query(_GRAPH + f""", x as (select project_id, src, dst from e where type in {reports.EXECUTION_EDGES}), r(project_id, source, node, depth) as (select project_id, id, id, 0 from n where type = 'HTTP_ENDPOINT'
  union select r.project_id, r.source, x.dst, r.depth + 1 from r join x on x.project_id = r.project_id and x.src = r.node where r.depth < 3 and x.dst is not null) select project_id, source, node, min(depth) as depth from r group by 1, 2, 3""")
 def reach_all_flows(spark, sf):
     n, e = graph(spark, sf)
-    return reports.flow_reach(n.where("type = 'HTTP_ENDPOINT'"), e, 3, KEYS)
+    return reports.flow_reach(n.where("type = 'HTTP_ENDPOINT'"), e, None, KEYS)
 
 
 @query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
@@ -321,7 +321,7 @@ def reach_all_flows(spark, sf):
  select distinct project_id, node from r where not exists (select 1 from c where c.project_id = r.project_id and c.id = r.node)""")
 def impact_transitive(spark, sf):
     n, e = graph(spark, sf)
-    return traverse.impact(n.where("stale"), n, e, 2, KEYS, "HTTP_ENDPOINT")["transitive"]
+    return traverse.impact(n.where("stale"), n, e, None, KEYS, "HTTP_ENDPOINT")["transitive"]
 
 
 @query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
@@ -330,7 +330,7 @@ def impact_transitive(spark, sf):
  select p.project_id, p.source, p.node, p.depth, array_to_string(p.path, ' > ') as path from p join n on n.project_id = p.project_id and n.id = p.node and n.type = 'HTTP_ENDPOINT' qualify row_number() over (partition by p.project_id, p.node order by p.depth, p.source, p.path) = 1""")
 def impact_flows(spark, sf):
     n, e = graph(spark, sf)
-    return traverse.impact(n.where("stale"), n, e, 2, KEYS, "HTTP_ENDPOINT")["flows"].withColumn("path", F.array_join("path", " > "))
+    return traverse.impact(n.where("stale"), n, e, None, KEYS, "HTTP_ENDPOINT")["flows"].withColumn("path", F.array_join("path", " > "))
 
 
 @query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
@@ -339,7 +339,7 @@ def impact_flows(spark, sf):
 def stale_impact(spark, sf):
     n, e = graph(spark, sf)
     starts = n.where("stale").select("project_id", F.col("id").alias("source"), F.col("id").alias("node"))
-    near = traverse.reach(starts, cut(traverse.steps(e, traverse.BOTH, None, KEYS)), 2, KEYS)
+    near = traverse.nearest(starts, cut(traverse.steps(e, traverse.BOTH, None, KEYS)), None, KEYS)
     docs = n.where("type = 'CUSTOM_HTML_SECTION'")
     return diff.stale_by_impact(docs, near, docs.where("not stale"), KEYS)
 

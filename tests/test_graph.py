@@ -341,3 +341,48 @@ def test_streaming_spans(spark, tmp_path):
     q = st.span_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("evigraph_spans").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("evigraph_spans").count() == 2
+
+
+def test_queries_follow_edges_to_the_fixpoint(spark, data):
+    from evigraph.plans import graph_queries as gq
+
+    n, e = gq.graph(spark, data)
+    kinds = {(r["project_id"], r["id"]): (r["type"], r["stale"]) for r in n.select("project_id", "id", "type", "stale").collect()}
+    rows = [(r["project_id"], r["type"], r["src"], r["dst"]) for r in e.collect() if r["src"] is not None and r["dst"] is not None]
+
+    def closure(starts, pairs):
+        near: dict = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+        depth = {s: 0 for s in starts}
+        todo = list(depth)
+        for x in todo:
+            for y in near.get(x, ()):
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    todo.append(y)
+        return depth
+
+    for query, start, types, turn in (("reach_all_flows", "HTTP_ENDPOINT", reports.EXECUTION_EDGES, 1), ("reverse_usage", "DB_TABLE", reports.USAGE_EDGES, -1)):
+        pairs = [((p, s), (p, d))[::turn] for p, t, s, d in rows if t in types]
+        want = {(*s, y[1], k) for s, (t, _) in kinds.items() if t == start for y, k in closure([s], pairs).items()}
+        assert {(r["project_id"], r["source"], r["node"], r["depth"]) for r in gq.QUERIES[query](spark, data).collect()} == want
+    both = [x for p, _, s, d in rows for x in (((p, s), (p, d)), ((p, d), (p, s)))]
+    stale = {x for x, (_, is_stale) in kinds.items() if is_stale}
+    depth = closure(stale, both)
+    assert max(depth.values()) > 3
+    assert {(r["project_id"], r["node"]) for r in gq.impact_transitive(spark, data).collect()} == set(depth) - stale
+    flows = gq.impact_flows(spark, data).collect()
+    assert {(r["project_id"], r["node"], r["depth"]) for r in flows} == {(*x, k) for x, k in depth.items() if kinds.get(x, ("",))[0] == "HTTP_ENDPOINT"} and len(flows) == len({(r["project_id"], r["node"]) for r in flows})
+    assert {(r["project_id"], r["id"]) for r in gq.stale_impact(spark, data).collect()} == {x for x in depth if kinds.get(x, ("",))[0] == "CUSTOM_HTML_SECTION" and not kinds[x][1] and kinds[x][1] is not None}
+
+
+def test_nearest_is_the_best_of_all_shortest_paths(spark):
+    r = random.Random(3)
+    e = edges(spark, *{("CALLS", f"n{r.randint(0, 30)}", f"n{r.randint(0, 30)}") for _ in range(60)})
+    starts = spark.createDataFrame([(f"n{i}", f"n{i}") for i in (3, 7, 11, 20)], "source string, node string")
+    best: dict = {}
+    for x in traverse.shortest_paths(starts, traverse.steps(e), 40).collect():
+        new = (x["depth"], x["source"], tuple(x["path"]))
+        best[x["node"]] = min(best.get(x["node"], new), new)
+    assert {x["node"]: (x["depth"], x["source"], tuple(x["path"])) for x in traverse.nearest(starts, traverse.steps(e), None).collect()} == best
