@@ -180,9 +180,9 @@ def html_escape(spark, sf):
 
 @query()
 def html_sanitize(spark, sf):
-    """Texts wrapped in risky markup; null means that danger was left and the page is refused."""
+    """Whole texts with their own markup, wrapped in risky markup; null means that danger was left and the page is refused."""
     d = table(spark, sf, "documents").where("text is not null")
-    html = F.concat(F.lit("<div onclick='x()'><script>alert(1)</script><a href=\"javascript:go()\">"), mask.html_escape(F.substring("text", 1, 200)), F.lit("</a></div>"))
+    html = F.concat(F.lit("<div onclick='x()'><script>alert(1)</script><a href=\"javascript:go()\">"), F.col("text"), F.lit("</a></div>"))
     return d.select("doc_id", mask.sanitize_html(html).alias("html"))
 
 

@@ -386,3 +386,14 @@ def test_nearest_is_the_best_of_all_shortest_paths(spark):
         new = (x["depth"], x["source"], tuple(x["path"]))
         best[x["node"]] = min(best.get(x["node"], new), new)
     assert {x["node"]: (x["depth"], x["source"], tuple(x["path"])) for x in traverse.nearest(starts, traverse.steps(e), None).collect()} == best
+
+
+def test_html_sanitize_sees_the_whole_unescaped_text(spark, tmp_path):
+    from evigraph.plans import source_queries as sq
+
+    long = "word " * 100
+    texts = [(1, long + "<script>steal()</script><b onclick='x()'>end</b>"), (2, long + "<p>last</p>"), (3, long + "java&Tab;script:go()"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["html"] for r in sq.html_sanitize(spark, str(tmp_path)).collect()}
+    wrap = lambda s: f'<div><a href="#">{s}</a></div>'
+    assert got == {1: wrap(long + "<b>end</b>"), 2: wrap(long + "<p>last</p>"), 3: None}
