@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evigraph import schema as sc
 from evigraph.functions import codes, ids
 from evigraph.functions.text import strip
-from evigraph.operators import diff, merge, reports, resolve, traverse, validate
+from evigraph.operators import diff, merge, reports, resolve, snapshots, traverse, validate
 from evigraph.session import cut, lookup_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,29 +237,59 @@ _DIFF = f"""{_PAIR}, dn as (select coalesce(a.project_id, b.project_id) as proje
   from a full join b on a.project_id = b.project_id and a.id = b.id)"""
 
 
-def _pair(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _last_two(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(project_id, snapshot_no) of the previous and of the latest snapshot of projects with both."""
     last = latest(spark, sf)
     every = table(spark, sf, "nodes").select("project_id", "snapshot_no").distinct()
     prev = every.join(last.withColumnRenamed("snapshot_no", "__last"), "project_id").where("snapshot_no < __last").groupBy("project_id").agg(F.max("snapshot_no").alias("snapshot_no"))
+    return prev, last.join(prev.select("project_id"), "project_id", "left_semi")
+
+
+def _changes(spark, sf, rows: DataFrame, at: str, fields: tuple[str, ...]) -> DataFrame:
+    """Difference of the last two snapshots over rows of one digest per field; of rows delivered twice the latest counts."""
+    once = rows.groupBy("project_id", "snapshot_no", "id").agg(F.max(F.struct(at, *fields)).alias("__row")).select("project_id", "snapshot_no", "id", *[F.col(f"__row.{f}").alias(f) for f in fields])
+    return diff.diff_elements(*[_at(once, s) for s in _last_two(spark, sf)], ["project_id", "id"], fields)
+
+
+def node_changes(spark, sf) -> DataFrame:
+    """Difference of the nodes in all fields, attributes and metadata included."""
+    return _changes(spark, sf, snapshots.node_digests(table(spark, sf, "nodes")).withColumnRenamed("node_id", "id"), "delivered_at", snapshots.NODE_FIELDS)
+
+
+def edge_changes(spark, sf) -> DataFrame:
+    """Difference of the edges in type, ends, description and attributes."""
+    text = lambda c: F.xxhash64(F.coalesce(strip(F.col(c)), F.lit(""))).alias(c)
+    e = table(spark, sf, "edges").where("edge_id is not null").select("project_id", "snapshot_no", F.col("edge_id").alias("id"), "analyzed_at", *map(text, ("type", "src", "dst", "description")), snapshots.attributes_hash(F.col("attrs"), F.col("type")).alias("attributes"))
+    return _changes(spark, sf, e, "analyzed_at", ("type", "src", "dst", "description", "attributes"))
+
+
+def _pair(spark, sf) -> tuple[DataFrame, DataFrame]:
+    prev, last = _last_two(spark, sf)
     f = fragments(spark, sf).withColumns({"display_name": F.coalesce("display_name", F.lit("")), "description": F.coalesce("description", F.lit(""))})
-    return _at(f, prev), _at(f, last.join(prev.select("project_id"), "project_id", "left_semi"))
+    return _at(f, prev), _at(f, last)
 
 
 @query(f"with {_DIFF} select project_id, id, change, changed_fields from dn where change <> 'MODIFIED' or len(changed_fields) > 0")
 def diff_semantic(spark, sf):
+    """The nodes' difference in the three fields of its SQL; :func:`diff_full` has all fields and the edges."""
     b, a = _pair(spark, sf)
     return diff.diff_elements(b, a, ["project_id", "id"], ["type", "display_name", "description"])
 
 
 @query(f"with {_DIFF} select 'node' as kind, change, count(*) as elements from dn where change <> 'MODIFIED' or len(changed_fields) > 0 group by 2")
 def diff_summary(spark, sf):
-    d = diff_semantic(spark, sf)
-    return diff.diff_summary(d, d.limit(0))
+    return diff.diff_summary(node_changes(spark, sf), edge_changes(spark, sf))
+
+
+@query()
+def diff_full(spark, sf):
+    """Every added, removed and changed node and edge with its changed fields."""
+    return node_changes(spark, sf).withColumn("kind", F.lit("node")).unionByName(edge_changes(spark, sf).withColumn("kind", F.lit("edge")))
 
 
 @query(f"with {_DIFF}, t as (select change, id, row_number() over (partition by change order by id, project_id) as rn, count(*) over (partition by change) as c from dn where change <> 'MODIFIED' or len(changed_fields) > 0) select change, id, greatest(0, c - 4) as more from t where rn <= 4")
 def top_changes(spark, sf):
-    return reports.top_per_kind(diff_semantic(spark, sf))
+    return reports.top_per_kind(node_changes(spark, sf))
 
 
 @query(f"""with {_PAIR} select b.project_id, b.id, (a.id is null or a.attrs['sourceFingerprint'] is distinct from b.attrs['sourceFingerprint']) as stale,

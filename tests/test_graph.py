@@ -397,3 +397,22 @@ def test_html_sanitize_sees_the_whole_unescaped_text(spark, tmp_path):
     got = {r["doc_id"]: r["html"] for r in sq.html_sanitize(spark, str(tmp_path)).collect()}
     wrap = lambda s: f'<div><a href="#">{s}</a></div>'
     assert got == {1: wrap(long + "<b>end</b>"), 2: wrap(long + "<p>last</p>"), 3: None}
+
+
+def test_diff_has_edges_attributes_and_metadata(spark, tmp_path):
+    from evigraph.plans import graph_queries as gq
+
+    meta = "struct<adapter string, confidence string, review_state string, stale boolean, source_path string, start_line int, warnings array<string>>"
+    m = ("source", "DECLARED", None, None, None, None, None)
+    row = lambda no, i, attrs, meta: ("p", no, "c", None, datetime(2026, 1, no), i, "SCREEN", i, None, attrs, meta)
+    rows = [row(1, i, {"a": "1"}, m) for i in "abc"] + [row(2, "a", {"a": "2"}, m), row(2, "b", {"a": "1.0"}, (*m[:3], True, *m[4:])), row(2, "c", {"a": "1"}, m)]
+    spark.createDataFrame(rows, f"project_id string, snapshot_no int, target_commit string, analyzed_at timestamp, delivered_at timestamp, node_id string, type string, display_name string, description string, attrs map<string,string>, metadata {meta}").write.parquet(f"{tmp_path}/nodes.parquet")
+    edge = lambda no, i, dst, attrs: ("p", no, datetime(2026, 1, no), i, "CALLS", "a", dst, None, attrs)
+    found = [edge(1, "gone", "b", {}), edge(1, "moved", "b", {}), edge(1, "same", "c", {"k": "1"}), edge(2, "moved", "c", {"k": "2"}), edge(2, "same", " c", {"k": "1.0"}), edge(2, "new", "c", None)]
+    spark.createDataFrame(found, "project_id string, snapshot_no int, analyzed_at timestamp, edge_id string, type string, src string, dst string, description string, attrs map<string,string>").write.parquet(f"{tmp_path}/edges.parquet")
+    sf = str(tmp_path)
+    assert {(r["kind"], r["id"], r["change"], *r["changed_fields"]) for r in gq.diff_full(spark, sf).collect()} == {
+        ("node", "a", "MODIFIED", "attributes"), ("node", "b", "MODIFIED", "metadata"), ("edge", "gone", "REMOVED"), ("edge", "moved", "MODIFIED", "attributes", "dst"), ("edge", "new", "ADDED"),
+    }
+    assert {tuple(r) for r in gq.diff_summary(spark, sf).collect()} == {("node", "MODIFIED", 2), ("edge", "REMOVED", 1), ("edge", "MODIFIED", 1), ("edge", "ADDED", 1)}
+    assert {r["id"] for r in gq.top_changes(spark, sf).collect()} == {"a", "b"}
