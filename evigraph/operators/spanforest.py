@@ -4,8 +4,7 @@ A span's form is the digest of its own identity and the sorted forms of its chil
 up; siblings of equal identity are told apart by an ordinal in the order of their forms. A
 cycle is opened at its least identity. Traces are independent; the recursion has no built-in,
 so traces stream through one Arrow pass over partitions sorted by trace. A trace is one
-request's spans and is bounded by ``MOST_SPANS``, beyond which a span is labelled by its own
-identity and id.
+request's spans; one trace at a time is held in the memory of a Python worker, whatever its size.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_SPANS = 50_000
-
 
 def _digest(*parts: str) -> str:
     return hashlib.sha256("\u0000".join(parts).encode()).hexdigest()[:24]
@@ -58,9 +55,10 @@ def label_trace(ids: list[str], parents: list[str | None], identities: list[str]
                 todo.append((labels[s], children.get(s, [])))
 
     walk()
-    while len(labels) < len(own):  # spans on cycles
-        todo.append(("", [min((s for s in own if s not in labels), key=lambda s: (own[s], form[s]))]))
-        walk()
+    for s in sorted((s for s in own if s not in labels), key=lambda s: (own[s], form[s])):  # spans on cycles
+        if s not in labels:
+            todo.append(("", [s]))
+            walk()
     return labels
 
 
@@ -86,12 +84,8 @@ def span_labels(spans: DataFrame) -> DataFrame:
             yield pd.DataFrame(finish(trace, held), columns=["trace_id", "span_id", "label"])
 
     rows = spans.select("trace_id", "span_id", "parent_span_id", "identity").where("trace_id is not null and span_id is not null").distinct()
-    size = rows.groupBy("trace_id").agg(F.count("*").alias("__n"))
-    fit = size.where(F.col("__n") <= MOST_SPANS).select("trace_id")
-    grouped = rows.join(fit, "trace_id", "left_semi").repartition("trace_id").sortWithinPartitions("trace_id", "span_id", "identity")
-    small = grouped.select("trace_id", "span_id", "parent_span_id", "identity").mapInPandas(label, "trace_id string, span_id string, label string")
-    large = rows.join(fit, "trace_id", "left_anti").select("trace_id", "span_id", F.substring(F.sha2(F.concat_ws("\u0000", F.lit("flat"), "identity", "span_id"), 256), 1, 24).alias("label"))
-    return small.unionByName(large)
+    grouped = rows.repartition("trace_id").sortWithinPartitions("trace_id", "span_id", "identity")
+    return grouped.mapInPandas(label, "trace_id string, span_id string, label string")
 
 
 def roots(spans: DataFrame) -> DataFrame:

@@ -416,3 +416,11 @@ def test_diff_has_edges_attributes_and_metadata(spark, tmp_path):
     }
     assert {tuple(r) for r in gq.diff_summary(spark, sf).collect()} == {("node", "MODIFIED", 2), ("edge", "REMOVED", 1), ("edge", "MODIFIED", 1), ("edge", "ADDED", 1)}
     assert {r["id"] for r in gq.top_changes(spark, sf).collect()} == {"a", "b"}
+
+
+def test_labels_of_a_large_trace_ignore_ids(spark):
+    ids = spark.range(60_000).withColumn("up", F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 8)))
+    name = lambda c, k: F.concat(F.lit(k), F.lpad(F.when(F.lit(k == "a"), F.col(c)).otherwise(99_999 - F.col(c)).cast("string"), 5, "0"))
+    spans = [ids.select(F.lit(k).alias("trace_id"), name("id", k).alias("span_id"), name("up", k).alias("parent_span_id"), F.concat(F.lit("op"), F.col("id") % 7).alias("identity")) for k in "ab"]
+    got = spanforest.span_labels(spans[0].unionByName(spans[1])).groupBy("label").agg(F.collect_set("trace_id").alias("t"), F.count("*").alias("n"))
+    assert {(tuple(sorted(r["t"])), r["n"], r["count"]) for r in got.groupBy("t", "n").count().collect()} == {(("a", "b"), 2, 60_000)}
