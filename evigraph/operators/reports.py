@@ -114,10 +114,10 @@ def action_transitions(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return on.join(to, [*keys, "action"]).distinct()
 
 
-def search(documents: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """First matches of a text in title, id, type and description, in order of id; the limit is the feature."""
+def search(documents: DataFrame, query: str, limit: int = 30, keys: Sequence[str] = ()) -> DataFrame:
+    """First matches of a text in title, id, type and description, in order of id, equal ids by ``keys``; the limit is the feature."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "id", "type", "description")]))
-    return documents.where(F.contains(text, F.lit(query.lower()))).orderBy("id").limit(limit)
+    return documents.where(F.contains(text, F.lit(query.lower()))).orderBy("id", *keys).limit(limit)
 
 
 def search_index(nodes: DataFrame) -> DataFrame:

@@ -411,8 +411,8 @@ def search_index(spark, sf):
 @query(_GRAPH + " select id, type, display_name as title, coalesce(description, '') as description from n where project_id = 'atlas-core' and contains(lower(concat_ws(' ', coalesce(display_name, ''), id, type, coalesce(description, ''))), 'ledger') order by id limit 30")
 def search_top(spark, sf):
     n, _ = graph(spark, sf)
-    docs = n.where("project_id = 'atlas-core'").select("id", "type", F.col("display_name").alias("title"), F.coalesce("description", F.lit("")).alias("description"))
-    return reports.search(docs, "ledger")
+    docs = n.select("project_id", "id", "type", F.col("display_name").alias("title"), F.coalesce("description", F.lit("")).alias("description"))
+    return reports.search(docs, "ledger", keys=KEYS).drop("project_id")
 
 
 @query(_GRAPH + """, d as (select project_id, id, src as node, 'forward' as way, type, dst as other from e union all select project_id, id, dst, 'reverse', type, src from e)

@@ -424,3 +424,12 @@ def test_labels_of_a_large_trace_ignore_ids(spark):
     spans = [ids.select(F.lit(k).alias("trace_id"), name("id", k).alias("span_id"), name("up", k).alias("parent_span_id"), F.concat(F.lit("op"), F.col("id") % 7).alias("identity")) for k in "ab"]
     got = spanforest.span_labels(spans[0].unionByName(spans[1])).groupBy("label").agg(F.collect_set("trace_id").alias("t"), F.count("*").alias("n"))
     assert {(tuple(sorted(r["t"])), r["n"], r["count"]) for r in got.groupBy("t", "n").count().collect()} == {(("a", "b"), 2, 60_000)}
+
+
+def test_search_top_searches_all_projects(spark, data):
+    from evigraph.plans import graph_queries as gq
+
+    n, _ = gq.graph(spark, data)
+    want = sorted((r["id"], r["project_id"]) for r in n.collect() if "ledger" in " ".join(r[c] or "" for c in ("display_name", "id", "type", "description")).lower())[:30]
+    assert len({p for _, p in want}) > 1
+    assert [r["id"] for r in gq.search_top(spark, data).collect()] == [i for i, _ in want]
