@@ -1,4 +1,4 @@
-"""Queries of the sources, functions and resolver joins; small inputs stand in where no table has the shape."""
+"""Queries of the sources, functions and resolver joins; a few run over small literals (README, known limits)."""
 
 from __future__ import annotations
 
@@ -197,13 +197,6 @@ def link_check(spark, sf):
 
 # SQL as data (J, C8, C12, C14) -------------------------------------------------------------------------
 
-STATEMENTS = [
-    ("tasks/selectOpen", "with active as (select id from projects where deleted_at is null) select p.id, u.name from active a join projects p on p.id = a.id left join users u on p.owner_id = u.id where p.name ilike '%x%' and exists (select 1 from tasks t where t.project_id = p.id)"),
-    ("tasks/write", "insert into tasks (id, title) values (1, 'a') returning id; update tasks set title = 'b' where id = 5 returning title; delete from tasks where id = 3"),
-    ("tasks/upsert", "insert into labels (id, name) values (1, 'a') on conflict (id) do update set name = excluded.name"),
-    ("tasks/clear", "truncate audit_logs, public.sessions cascade"),
-    ("tasks/selfJoin", "select a.id, b.id from tasks a join tasks b on a.parent_id = b.id"),
-]
 TEMPLATES = [
     ("dao/search", "select * from projects p where 1 = 1 /*%if name != null */ and p.name = /* name */'sample' /*%else*/ and p.archived = false /*%end*/ order by /*# orderBy */"),
     ("dao/update", "update projects set /*%populate */ where id = /* id */1"),
@@ -212,7 +205,9 @@ TEMPLATES = [
 
 @query()
 def sql_crud(spark, sf):
-    parsed = sqlfiles.statements(spark.createDataFrame(STATEMENTS, "source_id string, sql string"))
+    """CRUD edges of every span's SQL text."""
+    sql = _spans(spark, sf).select(F.concat_ws(":", "trace_id", "span_id").alias("source_id"), F.try_element_at("attributes", F.lit("db.statement")).alias("sql"))
+    parsed = sqlfiles.statements(sql)
     return sqlfiles.crud_edges(parsed).select("id", "type", "src", "dst")
 
 
@@ -325,8 +320,9 @@ def nth_mock(spark, sf):
 
 @query("select id, p as route, q as server_route from (values (1, '/projects/{id}', '/projects/{id}/x'), (2, '/a/{x}/b', '/a/:x/b'), (3, '/', '/')) v(id, p, q)")
 def ui_routes(spark, sf):
-    d = spark.createDataFrame([(1, "https://h:1/projects/7?x=1", "/projects/12/x"), (2, "/a/:x/b", "/a/:x/b"), (3, "https://h", "/")], "id int, a string, b string")
-    return d.select("id", ids.ui_route(F.col("a")).alias("route"), ids.server_route(F.col("b")).alias("server_route"))
+    """Both normal forms of every observation's route."""
+    o = table(spark, sf, "raw_observations").select(F.col("observation_id").alias("id"), F.get_json_object("payload", "$.route").alias("r")).where("r is not null").distinct()
+    return o.select("id", ids.ui_route(F.col("r")).alias("route"), ids.server_route(F.col("r")).alias("server_route"))
 
 
 @query("with c(conflict_id, status, d) as (values ('c1', 'OPEN', 'longer text'), ('c2', 'IGNORED', 'x')) select conflict_id, status, d as description from c")
@@ -338,5 +334,13 @@ def conflict_dedup(spark, sf):
 
 @query("select * from (values ('d', 'a', 0::bigint, 1), ('d', 'z', 2, 2), ('d', 'b', 0, 3)) v(diagram, \"table\", incoming, place)")
 def er_hub_order(spark, sf):
-    t = spark.createDataFrame([("d", x) for x in "abz"], "diagram string, table string")
-    return reports.er_order(t, spark.createDataFrame([("z",), ("z",)], "referenced_table string"))
+    """Every relation with columns or constraints, a diagram for each schema; foreign keys of all relations count."""
+    from evigraph.operators import nested
+
+    rows = nested.relation_rows(table(spark, sf, "raw_relations"))
+    schema = F.substring_index("parent_key", ".", 1)
+    fact = lambda *names: F.coalesce(*[F.try_element_at("facts", F.lit(n)) for n in names])
+    keys = rows.where("child_kind = 'constraint'").select("parent_key", "child_key", fact("referencedTable", "referenced_table").alias("t"), fact("referencedSchema", "referenced_schema").alias("s")).where("t is not null")
+    references = keys.dropDuplicates(["parent_key", "child_key"]).select(F.concat_ws(".", F.coalesce("s", schema), "t").alias("referenced_table"))
+    relations = rows.where("child_kind in ('column', 'constraint')").select(schema.alias("diagram"), F.col("parent_key").alias("table")).distinct()
+    return reports.er_order(relations, references)

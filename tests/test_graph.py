@@ -433,3 +433,42 @@ def test_search_top_searches_all_projects(spark, data):
     want = sorted((r["id"], r["project_id"]) for r in n.collect() if "ledger" in " ".join(r[c] or "" for c in ("display_name", "id", "type", "description")).lower())[:30]
     assert len({p for _, p in want}) > 1
     assert [r["id"] for r in gq.search_top(spark, data).collect()] == [i for i, _ in want]
+
+
+def test_source_queries_read_their_tables(spark, data):
+    import json
+
+    from evigraph.functions import sqltext as st
+    from evigraph.plans import source_queries as sq
+
+    spans = {(r["trace_id"], s["span_id"]): s["attributes"] for r in spark.read.parquet(f"{data}/traces.parquet").collect() if r["trace_id"] for s in r["spans"] or () if s and s["span_id"]}
+    want = {f"sql:{t}:{s}#{i}" for (t, s), a in spans.items() if a and a.get("db.statement") for i, x in enumerate(st.analyse(a["db.statement"])) if x.tables}
+    assert want and {r["src"] for r in sq.sql_crud(spark, data).collect()} == want
+    seen = set()
+    for r in spark.read.parquet(f"{data}/raw_observations.parquet").collect():
+        try:
+            if json.loads(r["payload"]).get("route") is not None:
+                seen.add(r["observation_id"])
+        except (TypeError, ValueError, AttributeError):
+            pass
+    assert seen and {r["id"] for r in sq.ui_routes(spark, data).collect()} >= seen
+    order = sq.er_hub_order(spark, data).collect()
+    by: dict = {}
+    for r in order:
+        assert r["table"].startswith(r["diagram"] + ".")
+        by.setdefault(r["diagram"], []).append(r["place"])
+    assert by and sum(r["incoming"] for r in order) > 0 and all(sorted(p) == list(range(1, len(p) + 1)) for p in by.values())
+
+
+STATEMENTS = [
+    ("tasks/selectOpen", "with active as (select id from projects where deleted_at is null) select p.id, u.name from active a join projects p on p.id = a.id left join users u on p.owner_id = u.id where p.name ilike '%x%' and exists (select 1 from tasks t where t.project_id = p.id)"),
+    ("tasks/write", "insert into tasks (id, title) values (1, 'a') returning id; update tasks set title = 'b' where id = 5 returning title; delete from tasks where id = 3"),
+    ("tasks/upsert", "insert into labels (id, name) values (1, 'a') on conflict (id) do update set name = excluded.name"),
+    ("tasks/clear", "truncate audit_logs, public.sessions cascade"),
+    ("tasks/selfJoin", "select a.id, b.id from tasks a join tasks b on a.parent_id = b.id"),
+]
+
+
+def test_crud_of_statements(spark):
+    got = {(r["src"], r["type"], r["dst"]) for r in sqlfiles.crud_edges(sqlfiles.statements(spark.createDataFrame(STATEMENTS, "source_id string, sql string"))).collect()}
+    assert {("sql:tasks/write#0", "CREATES", "table:public.tasks"), ("sql:tasks/write#2", "DELETES", "table:public.tasks"), ("sql:tasks/upsert#0", "CREATES", "table:public.labels")} <= got
