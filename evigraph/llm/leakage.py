@@ -110,13 +110,16 @@ _A, _B = _multipliers()
 
 
 class ItemIndex:
-    """MinHash bands of the items' windows and the items' words for verification."""
+    """MinHash bands of the items' windows and the items' words for verification.
+
+    Inside, an item is its place in the list, since an id may come with several texts.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
-        self.words = dict(items)
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         owners, rows = [], []
         self.by_shingle: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, h in items:
+        for item, h in enumerate(self.words):
             s = shingle_hashes(h)
             for at, v in enumerate(s.tolist()):
                 self.by_shingle[v].append((item, at))
@@ -137,7 +140,7 @@ class ItemIndex:
             self.bitmap[p] = np.packbits(bits, bitorder="little")
 
     def candidates(self, shingles: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document's place, item) pairs whose block and window meet in a band."""
+        """(document's place, item's place) pairs whose block and window meet in a band."""
         starts, sizes, owner, flat, base = [], [], [], [], 0
         for place, s in enumerate(shingles):
             n = len(s)
@@ -220,7 +223,7 @@ def _search(documents: DataFrame, index: ItemIndex) -> DataFrame:
                 part = batch.iloc[lo : lo + 256]
                 ids, hashes = part["doc_id"].tolist(), [word_hashes(t) for t in part["text"]]
                 shingles = [shingle_hashes(h) for h in hashes]
-                hits = [(ids[d], i) for d, i in ix.candidates(shingles) if ix.verify(i, hashes[d], shingles[d])]
+                hits = [(ids[d], ix.ids[i]) for d, i in ix.candidates(shingles) if ix.verify(i, hashes[d], shingles[d])]
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id"])
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")

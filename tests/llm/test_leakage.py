@@ -83,3 +83,8 @@ def test_more_items_make_more_blocks(spark, monkeypatch):
     monkeypatch.setattr(lk, "MOST_WINDOWS", 30)
     items = [(i, f"{ITEM} {i}") for i in range(3)]
     assert found(spark, [(1, ITEM)], items) == {(1, 0), (1, 1), (1, 2)}
+
+
+def test_an_item_with_two_texts(spark):
+    other = " ".join(reversed(WORDS))
+    assert found(spark, [(1, ITEM), (2, other)], [(7, ITEM), (7, other)]) == {(1, 7), (2, 7)}
