@@ -1,14 +1,15 @@
 """References to records that do not exist (problem 6).
 
-A blocked Bloom filter over the parent keys is built by ``groupBy`` + ``bit_or`` and
-broadcast as chunk rows (chunk number, 128 words); a reference whose bits are not all set is
-proved an orphan without any join. Only filter-positive references go to the exact join,
-which also tells deleted, late and earlier parents apart.
+A blocked Bloom filter over the parent keys is built by ``groupBy`` + ``bit_or`` into chunk
+rows (chunk number, 128 words); a reference whose bits are not all set is proved an orphan
+without its parent. Only filter-positive references carry their key into the exact join, which
+also tells deleted, late and earlier parents apart; all others pass it under keys of their own.
 
-The filter's size is set by the counted number of keys at ``BITS_PER_KEY`` bits each. Above
-``MOST_FILTER_ROWS`` chunks it would be too large to broadcast; it is then skipped and all
-references take the exact join. References are reduced to distinct (key, row) pairs first,
-and a hot key is split by adaptive skew handling since the parent side has one row per key.
+The filter has ``BITS_PER_KEY`` bits for each distinct key, counted by a sketch. Up to
+``MOST_FILTER_ROWS`` chunks it is broadcast; beyond that references meet the same chunks in a
+join on the chunk number, salted, so that a hot key's chunk isn't one task. References are
+reduced to distinct (key, row) pairs and tested once. Keys that hold a large share of the
+references are found by a bounded sketch and their parents repeated under salts.
 
 Defined results: null references are no case; a blank reference is a missing one; copies of a
 reference count once; a parent delivered several times exists from its first ``loaded_at``
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import strip
-from evigraph.session import union_all
+from evigraph.session import hot_join, hot_keys, salted_join, union_all
 
 WORDS_PER_CHUNK = 128
 BITS_PER_KEY = 12
@@ -41,35 +42,31 @@ def _place(key: Column, chunks: int) -> tuple[Column, Column, Column]:
     )
 
 
-def bloom_chunks(keys: DataFrame, key: str, expected: int) -> DataFrame | None:
-    """(__chunk, __bits) rows of a filter over ``key``, or None if it is too large to broadcast."""
-    chunks = max(1, -(-expected * BITS_PER_KEY // (64 * WORDS_PER_CHUNK)))
-    if chunks > MOST_FILTER_ROWS:
-        return None
+def bloom_chunks(keys: DataFrame, key: str, chunks: int) -> DataFrame:
+    """(__chunk, __bits) rows of a filter over ``key``."""
     chunk, word, mask = _place(F.col(key), chunks)
     words = keys.select(chunk.alias("__chunk"), word.alias("__word"), mask.alias("__mask")).groupBy("__chunk", "__word").agg(F.bit_or("__mask").alias("__mask"))
     return (
         words.groupBy("__chunk")
         .agg(F.map_from_entries(F.collect_list(F.struct("__word", "__mask"))).alias("__m"))  # at most 128 words
         .select("__chunk", F.transform(F.sequence(F.lit(0), F.lit(WORDS_PER_CHUNK - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0).cast("bigint"))).alias("__bits"))
-        .withColumn("__chunks", F.lit(chunks))
     )
 
 
-def split_by_bloom(refs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """(possible, definite): references that may have a parent and those proved to have none.
-
-    Both keys are one text column; ``keys`` may repeat, its rows (a count that Parquet
-    answers from its footers) bound the filter's size.
-    """
-    expected = keys.count()
-    filter_rows = bloom_chunks(keys, key, expected)
-    if filter_rows is None:
-        return refs, None
+def held_by_bloom(refs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``refs`` with ``__held``: false is proof that ``keys`` has no such key. Both keys are one text column; ``keys`` may repeat."""
+    expected = keys.agg(F.approx_count_distinct(key, 0.02)).first()[0]
     chunks = max(1, -(-expected * BITS_PER_KEY // (64 * WORDS_PER_CHUNK)))
     chunk, word, mask = _place(F.col(key), chunks)
+    rows, numbered = bloom_chunks(keys, key, chunks), refs.withColumn("__chunk", chunk)
+    met = numbered.join(F.broadcast(rows), "__chunk", "left") if chunks <= MOST_FILTER_ROWS else salted_join(numbered, rows, ["__chunk"])
     held = F.coalesce(F.get(F.col("__bits"), word).bitwiseAND(mask) == mask, F.lit(False))
-    tested = refs.withColumn("__chunk", chunk).join(F.broadcast(filter_rows), "__chunk", "left").withColumn("__held", held).drop("__chunk", "__bits", "__chunks")
+    return met.withColumn("__held", held).drop("__chunk", "__bits")
+
+
+def split_by_bloom(refs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(possible, definite): references that may have a parent and those proved to have none."""
+    tested = held_by_bloom(refs, keys, key)
     return tested.where("__held").drop("__held"), tested.where(~F.col("__held")).drop("__held")
 
 
@@ -85,13 +82,15 @@ def classify(refs: DataFrame, keys: DataFrame, parents: DataFrame, verdict: Colu
     ``verdict`` names the orphan kind of a reference that found its key, null if it is sound.
     """
     payload = [c for c in refs.columns if c != "__key"]
-    possible, definite = split_by_bloom(refs, keys, "__key")
-    joined = possible.join(parents.withColumn("__found", F.lit(True)), "__key", "left")
+    hot = hot_keys(refs, "__key")
+    distinct = refs.distinct()
+    tested = held_by_bloom(distinct, keys, "__key")
+    # a proved orphan keeps no key to meet a parent by, but one of its own, so that they spread
+    own = F.concat(F.lit("\u0002"), F.xxhash64(*[F.col(c) for c in payload]).cast("string"))
+    keyed = tested.withColumn("__key", F.when(F.col("__held"), F.col("__key")).otherwise(own))
+    joined = hot_join(keyed, parents.withColumn("__found", F.lit(True)), "__key", "left", hot)
     kind = F.when(F.col("__found").isNull(), "missing").otherwise(verdict)
-    exact = joined.select(*payload, F.explode(F.array_compact(F.array(kind))).alias("orphan_kind"))
-    if definite is None:
-        return exact
-    return exact.unionByName(definite.select(*payload, F.lit("missing").alias("orphan_kind")))
+    return joined.select(*payload, F.explode(F.array_compact(F.array(kind))).alias("orphan_kind"))
 
 
 def task_orphans(tasks: DataFrame, targets: DataFrame, field: str) -> DataFrame:
@@ -99,7 +98,6 @@ def task_orphans(tasks: DataFrame, targets: DataFrame, field: str) -> DataFrame:
     refs = (
         tasks.where(F.col(field).isNotNull() & F.col("id").isNotNull())
         .select(F.col(field).cast("string").alias("__key"), F.col("id").cast("string").alias("row_key"), F.col("loaded_at").alias("__at"))
-        .distinct()
     )
     present = targets.where(F.col("id").isNotNull()).withColumn("__key", F.col("id").cast("string"))
     parents = (
@@ -121,7 +119,6 @@ def edge_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("project_id", "snapshot_no", F.concat_ws("@", "edge_id", F.col("snapshot_no").cast("string")).alias("row_key"), F.date_format("analyzed_at", "yyyy-MM").alias("month_key"), F.inline(ends))
         .where(F.col("__ref").isNotNull())
         .select(_key(F.col("project_id"), F.col("__ref")).alias("__key"), F.col("snapshot_no").alias("__no"), "ref_field", "row_key", "month_key")
-        .distinct()
     )
     present = nodes.where(F.col("project_id").isNotNull() & F.col("node_id").isNotNull() & F.col("snapshot_no").isNotNull()).select(
         _key(F.col("project_id"), F.col("node_id")).alias("__key"), "snapshot_no"
