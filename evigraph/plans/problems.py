@@ -1,28 +1,14 @@
-"""Queries of the general data problems 1, 2, 3, 5 and 6."""
+"""Queries of the general data problems 2, 3, 5 and 6."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.operators import nested, orphans, snapshots, survivor, timestamps
+from evigraph.operators import nested, orphans, snapshots, timestamps
 from evigraph.session import table, union_all
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = survivor.surviving_fields(table(spark, sf_dir, "endpoint_declarations"))
-    return won.select("group_id", "field_name", F.col("record_id").alias("declaration_id"))
-
-
-def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.canonical_endpoints(table(spark, sf_dir, "endpoint_declarations"))
-
-
-def p1_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same record by summed votes: agreement of many sources counts."""
-    return survivor.canonical_endpoints(table(spark, sf_dir, "endpoint_declarations"), "summed")
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all([
         timestamps.stamps_of_tasks(table(spark, sf_dir, "tasks")),
@@ -69,33 +55,10 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_canonical, p1_voted, p2_found, p3_found, p3_presence, p5_found, p5_spans, p5_foreign_keys, p5_columns, p6_found, p6_report,
+        p2_found, p3_found, p3_presence, p5_found, p5_spans, p5_foreign_keys, p5_columns, p6_found, p6_report,
     )
 }
 
-_STAND_INS = ", ".join(f"'{w}'" for w in survivor.STAND_INS)
-_RANK = lambda c, names: f"case upper(trim({c})) " + " ".join(f"when '{n}' then {len(names) - i}" for i, n in enumerate(names)) + " else 0 end"
-
-_P1_BASE = rf"""
-with d as (
-  select distinct project_id, upper(trim(http_method, ' ' || chr(9) || chr(10) || chr(13))) as m,
-    regexp_replace(regexp_replace(regexp_replace(trim(path, ' ' || chr(9) || chr(10) || chr(13)), '\{{[^{{}}]*\}}', chr(1), 'g'), '\{{[^{{}}]*\}}', chr(1), 'g'), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', '') as p0,
-    declaration_id, source, collected_at, {", ".join(survivor.ENDPOINT_FIELDS)},
-    coalesce(list_max(list_transform(evidence, lambda e: case when ({_RANK("e.confidence", survivor.CONFIDENCE_ORDER)}) = 0 then 3 else ({_RANK("e.confidence", survivor.CONFIDENCE_ORDER)}) end)), 3) as conf
-  from endpoint_declarations),
-e as (
-  select *, replace(regexp_replace(regexp_replace('/' || trim(regexp_replace(p0, '[?#].*$', '')), '/+', '/', 'g'), '(.)/$', '\1'), chr(1), '{{}}') as p,
-    {_RANK("source", survivor.SOURCE_ORDER)} as src
-  from d where m is not null and p0 is not null),
-g as (select project_id, m, p, min(declaration_id) as group_id from e group by all having min(declaration_id) < max(declaration_id)),
-l as (unpivot e on {", ".join(survivor.ENDPOINT_FIELDS)} into name field_name value val),
-s as (select *, lower(regexp_replace(val, '[^\p{{L}}\p{{N}}]+', '', 'g')) as core from l),
-w as (
-  select s.*, g.group_id, row_number() over (partition by g.group_id, field_name order by conf desc, src desc, collected_at desc nulls last, declaration_id) as rn
-  from s join g on s.project_id is not distinct from g.project_id and s.m = g.m and s.p = g.p
-  where core <> '' and core not in ({_STAND_INS}))
-"""
-
 _ORPHANS = """
 with t as (select distinct id, project_id, assignee_id, loaded_at from tasks where id is not null),
 u as (select id, min(loaded_at) as l, arg_max(deleted_at, loaded_at) as d from users where id is not null group by id),
@@ -139,12 +102,7 @@ select project_id, snapshot_no, change_kind, count(*) as nodes from (select * fr
 """
 
 SQL = {
-    "p1_canonical": _P1_BASE
-    + "select project_id, m as http_method, p as path, min(group_id) as group_id, "
-    + ", ".join(f"max(val) filter (field_name = '{f}') as {f}" for f in survivor.ENDPOINT_FIELDS)
-    + " from w where rn = 1 group by all",
     "p3_presence": _PRESENCE,
-    "p1_found": _P1_BASE + "select group_id, field_name, declaration_id from w where rn = 1",
     "p6_found": _ORPHANS + "select * from found",
     "p6_report": _ORPHANS + "select src_table, ref_field, month_key, orphan_kind, count(distinct row_key) as orphans from found group by all",
     "p5_spans": _SPANS,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.codes import compatible_type, http_status, is_success
 from evigraph.functions.ids import match_key, normalize_path
-from evigraph.operators.survivor import SOURCE_ORDER, precedence
+from evigraph.functions.text import precedence
+from evigraph.schema import SOURCE_ORDER
 
 DECLARATIONS = (
     "http_method string, path string, controller_class string, handler_method string, consumes array<string>, produces array<string>, "
