@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evigraph.functions.ids import digest
 from evigraph.functions.text import strip
 from evigraph.schema import CONFIDENCE_RANKS, coded
+from evigraph.session import union_all
 
 
 def canonical_attrs(attrs: Column) -> Column:
@@ -59,6 +60,71 @@ def attributes_map(attributes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return attributes.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr", "value")))).alias("attrs"))
 
 
+def merge_edges(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per edge: type and both ends from one technical winner, the description by authority.
+
+    ``fragments``: keys, type, src, dst, description, attrs, adapter, fact_rank, analyzed_at. Attributes merge as those
+    of nodes do (:func:`merge_attributes`).
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    key = F.concat_ws("\u0000", text("type"), text("src"), text("dst"), text("description"), canonical_attrs(F.col("attrs")), text("adapter"))
+    order = F.struct("fact_rank", "analyzed_at", key.alias("key"))
+    told = strip(F.col("description")) != ""
+    return (
+        fragments.groupBy(*keys)
+        .agg(F.max_by(F.struct("type", "src", "dst"), order).alias("__facts"), F.max_by("description", F.when(told, order)).alias("__told"), F.count("*").alias("fragments"))
+        .select(*keys, "__facts.*", F.coalesce("__told", F.lit("")).alias("description"), "fragments")
+    )
+
+
+def merge_stale(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stale mark of an element: the latest of its stale fragments, ties by reason, fingerprints and cause; fresh if none.
+
+    ``fragments``: keys, stale, detected_at, reason, source_fingerprint, current_fingerprint, cause.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    mark = F.struct("detected_at", *map(text, ("reason", "source_fingerprint", "current_fingerprint", "cause")))
+    return (
+        fragments.groupBy(*keys).agg(F.max(F.when(F.col("stale"), mark)).alias("__mark"))
+        .select(*keys, F.col("__mark").isNotNull().alias("stale"), "__mark.*")
+    )
+
+
+def merge_root(roots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Root of merged documents (project_id, schema_version, target_commit, analyzed_at); those of several projects don't merge.
+
+    With ``by`` there is one root per group, and the project is one of its keys.
+    """
+    if not by and len(roots.select("project_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("fragments of several projects")
+    commit = F.max(F.when(strip(F.col("target_commit")) != "", F.col("target_commit")))
+    out = [F.max("schema_version").alias("schema_version"), F.coalesce(commit, F.lit("")).alias("target_commit"), F.max("analyzed_at").alias("analyzed_at")]
+    return roots.groupBy(*(by or ["project_id"])).agg(*out)
+
+
+def evidence_union(fragments: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("locations", "warnings", "traces", "scenarios")) -> DataFrame:
+    """Distinct sorted values of the list columns of an element's fragments; exploded first, so that repeated values meet early."""
+    rows = union_all([fragments.select(*keys, F.lit(c).alias("__of"), F.explode_outer(c).alias("__v")) for c in columns]).distinct()
+    return rows.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("__of") == c, F.col("__v")))).alias(c) for c in columns])
+
+
+# Detail keys that say when something was seen, and those of one run; letters and digits, lower case.
+VOLATILE_DETAILS = ("capturedat", "analyzedat", "generatedat", "observedat", "sourcefingerprint")
+RUN_DETAILS = (
+    "traceid", "spanid", "parentspanid", "tracestate", "starttime", "endtime", "starttimeunixnano", "endtimeunixnano", "durationmillis", "timestamp",
+    "observedtimestamp", "eventtime", "eventtimeunixnano", "time", "timeunixnano", "serviceinstanceid", "processpid", "threadid",
+)
+
+
+def evidence_id(type_: Column, scope: Column, source: Column, description: Column, path: Column, symbol: Column, details: Column) -> Column:
+    """Id of an evidence by what it means: neither line numbers nor volatile details count. ``details`` is a flat map."""
+    plain = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
+    run = F.coalesce(type_.isin("RUNTIME_OBSERVATION", "PLAYWRIGHT_OBSERVATION"), F.lit(False))
+    kept = F.map_filter(details, lambda k, v: ~plain(k).isin(*VOLATILE_DETAILS) & ~(run & plain(k).isin(*RUN_DETAILS)))
+    text = [F.coalesce(c, F.lit("")) for c in (type_, scope, source, description, path, symbol)]
+    return F.concat(F.lit("evidence:"), digest(*text, canonical_attrs(kept)))
+
+
 def merge_review(states: Column) -> Column:
     """Review state of a set of states by precedence; approval against rejection needs review."""
     has = lambda *xs: F.arrays_overlap(states, F.array(*[F.lit(x) for x in xs]))

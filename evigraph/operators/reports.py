@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.functions.ids import page_path
+from evigraph.functions.ids import PAGE_DIRECTORIES, page_path
+from evigraph.functions.mask import html_escape
+from evigraph.functions.text import blank_to_null
 from evigraph.operators.traverse import OUTGOING, reach, steps
+from evigraph.schema import coded
 
 # Edge types along which a flow executes, and the CRUD operations they end in.
 EXECUTION_EDGES = (
@@ -124,11 +127,59 @@ def search_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "type", F.col("display_name").alias("title"), "description", page_path(F.col("type"), F.col("id")).alias("url"))
 
 
-def top_per_kind(diff: DataFrame, per_kind: int = 4) -> DataFrame:
+def top_per_kind(diff: DataFrame, per_kind: int = 4, keys: Sequence[str] = ()) -> DataFrame:
     """The first changes of each kind with the number left over."""
-    w = Window.partitionBy("change")
-    ranked = diff.withColumns({"__n": F.row_number().over(w.orderBy("id")), "__all": F.count("*").over(w)})
-    return ranked.where(F.col("__n") <= per_kind).select("change", "id", F.greatest(F.lit(0), F.col("__all") - per_kind).alias("more"))
+    order = [c for c in ("id", *keys)]
+    # a rank with nothing beside it is cut to the first rows before the shuffle, so that a kind's rows don't meet in one task
+    first = diff.withColumn("__n", F.row_number().over(Window.partitionBy("change").orderBy(*order))).where(F.col("__n") <= per_kind)
+    counts = diff.groupBy("change").agg(F.count("*").alias("__all"))  # at most one row per kind of change
+    return first.join(F.broadcast(counts), "change").select("change", "id", F.greatest(F.lit(0), F.col("__all") - per_kind).alias("more"))
+
+
+def flows_using(reached: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, target, flow): flows that reach a table or column; a column is used as well where its table is reached.
+
+    ``reached``: keys, source, node of :func:`flow_reach`; ``targets``: keys, id, type.
+    """
+    hits = reached.select(*keys, F.col("node").alias("__at"), F.col("source").alias("flow"))
+    table_of = F.when(F.col("type") == "DB_COLUMN", F.regexp_replace("id", r"^column:(.*)\.[^.]*$", "table:$1"))
+    asked = targets.where("type in ('DB_TABLE', 'DB_COLUMN')").select(*keys, F.col("id").alias("target"), F.explode(F.array_compact(F.array(F.col("id"), table_of))).alias("__at"))
+    return asked.join(hits, [*keys, "__at"]).select(*keys, "target", "flow").distinct()
+
+
+def collection_index(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, directory, id, title): the members of every page directory."""
+    directory = coded(F.col("type"), PAGE_DIRECTORIES, "other").alias("directory")
+    return nodes.select(*keys, directory, "id", F.coalesce(blank_to_null(F.col("display_name")), F.col("id")).alias("title"))
+
+
+def observed_screen_edges(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Observed NAVIGATES_TO edges between two screens; ``edges`` has ``confidence``."""
+    screens = nodes.where("type = 'SCREEN'").select(*keys, F.col("id").alias("__id")).distinct()
+    out = edges.where("type = 'NAVIGATES_TO' and confidence = 'OBSERVED'")
+    for end in ("src", "dst"):
+        out = out.withColumn("__id", F.col(end)).join(screens, [*keys, "__id"], "left_semi").drop("__id")
+    return out
+
+
+def state_report(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, id, state): the stale nodes, and those with an open conflict."""
+    states = F.array_compact(F.array(F.when(F.col("stale"), "STALE"), F.when(F.col("conflicted"), "CONFLICTED")))
+    return nodes.select(*keys, "id", F.explode(states).alias("state"))
+
+
+def replace_references(pages: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, page, reference, found, html): what each ``data-ref`` of a page becomes, a link or a marked broken reference.
+
+    Every distinct reference of a page is looked up once; ``pages``: keys, page, references (array of ids).
+    """
+    asked = pages.select(*keys, "page", F.explode(F.array_distinct("references")).alias("reference"))
+    known = nodes.select(*keys, F.col("id").alias("reference"), page_path(F.col("type"), F.col("id")).alias("__url")).dropDuplicates([*keys, "reference"])
+    met = asked.join(known, [*keys, "reference"], "left")
+    text = html_escape(F.col("reference"))
+    link = F.concat(F.lit('<a href="'), F.col("__url"), F.lit('">'), text, F.lit("</a>"))
+    broken = F.concat(F.lit('<span class="broken-ref">'), text, F.lit("</span>"))
+    return met.select(*keys, "page", "reference", F.col("__url").isNotNull().alias("found"), F.coalesce(link, broken).alias("html"))
 
 
 def stale_outputs(previous: DataFrame, expected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.ids import segments, template_matches
-from evigraph.session import fits
+from evigraph.session import fits, union_all
 
 
 def unique_match(candidates: DataFrame, left: Sequence[str], candidate: str) -> tuple[DataFrame, DataFrame]:
@@ -37,17 +37,18 @@ def path_join(calls: DataFrame, templates: DataFrame, keys: Sequence[str] = ())
 def contained_sql(spans: DataFrame, statements: DataFrame, most: int = 5_000) -> DataFrame:
     """(span_id, statement_id) where one normalized text contains the other.
 
-    ``spans`` and ``statements`` have ``sql``. Statements are the application's own texts:
-    their number is checked against ``most`` and they are met as a stated query set against
-    all spans; equal texts are joined by key first.
+    ``spans`` and ``statements`` have ``sql``. Statements are the application's own texts: a
+    stated query set that meets all distinct span texts in blocks of about ``most``, each
+    broadcast; beyond one block there are as many passes over the distinct texts as blocks.
     """
     s = spans.where(F.col("sql").isNotNull() & (F.trim("sql") != "")).select("span_id", F.col("sql").alias("__a"))
     distinct = s.select("__a").distinct()
     q = statements.where(F.col("sql").isNotNull() & (F.trim("sql") != "")).select("statement_id", F.col("sql").alias("__b"))
-    if not fits(q, most):
-        raise ValueError(f"more than {most} statements: split them into blocks of query texts")
+    blocks = 1 if fits(q, most) else -(-2 * q.count() // most)
     either = F.contains(F.col("__a"), F.col("__b")) | F.contains(F.col("__b"), F.col("__a"))
-    return distinct.join(F.broadcast(q), either).join(s, "__a").select("span_id", "statement_id")
+    block = F.pmod(F.xxhash64("statement_id", "__b"), F.lit(blocks))
+    met = union_all([distinct.join(F.broadcast(q.where(block == k)), either) for k in range(blocks)])
+    return met.join(s, "__a").select("span_id", "statement_id")
 
 
 def first_by(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -34,9 +34,11 @@ def query(sql: str | None = None) -> Callable:
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every delivered node row as a fragment of its element, copies once."""
-    m = F.col("metadata")
-    n = table(spark, sf, "nodes").dropDuplicates(["project_id", "snapshot_no", "node_id"])
+    """Every node of every snapshot as a fragment of its element, by its latest delivery."""
+    m, key = F.col("metadata"), ["project_id", "snapshot_no", "node_id"]
+    t = table(spark, sf, "nodes")
+    rest = F.struct(*[c for c in t.columns if c not in key])
+    n = t.groupBy(*key).agg(F.max_by(rest, F.coalesce("delivered_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("__row")).select(*key, "__row.*")
     rank = sc.coded(m["adapter"], {a: sc.FACT_RANKS[t] for a, t in ADAPTERS.items()}, 0)
     return n.select(
         "project_id", "snapshot_no", F.col("node_id").alias("id"), "type", strip(F.col("display_name")).alias("display_name"), strip(F.col("description")).alias("description"),
@@ -63,10 +65,9 @@ def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _LAST = "last as (select project_id, max(snapshot_no) as snapshot_no from nodes group by 1)"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 _RANK = "case metadata.adapter " + " ".join(f"when '{a}' then {sc.FACT_RANKS[t]}" for a, t in ADAPTERS.items()) + " else 0 end"
-_FRAG = f"""frag as (select project_id, snapshot_no, node_id as id, any_value(type) as type, trim(any_value(display_name), {_BLANKS}) as display_name,
-  trim(any_value(description), {_BLANKS}) as description, any_value(attrs) as attrs, any_value(target_commit) as target_commit, any_value(analyzed_at) as analyzed_at, any_value(metadata.adapter) as adapter,
-  any_value(metadata.confidence) as confidence, any_value(metadata.review_state) as review_state, any_value(metadata.stale) as stale, any_value(metadata.warnings) as warnings,
-  any_value(metadata.source_path) as source_path, any_value({_RANK}) as fact_rank from nodes group by 1, 2, 3)"""
+_FRAG = f"""frag as (select project_id, snapshot_no, node_id as id, type, trim(display_name, {_BLANKS}) as display_name, trim(description, {_BLANKS}) as description, attrs, target_commit, analyzed_at,
+  metadata.adapter as adapter, metadata.confidence as confidence, metadata.review_state as review_state, metadata.stale as stale, metadata.warnings as warnings, metadata.source_path as source_path, {_RANK} as fact_rank
+  from nodes qualify row_number() over (partition by project_id, snapshot_no, node_id order by delivered_at desc nulls last) = 1)"""
 _GRAPH = f"""with recursive {_LAST}, {_FRAG},
 n as (select f.* from frag f join last using (project_id, snapshot_no)),
 e as (select distinct project_id, edge_id as id, type, trim(src, {_BLANKS}) as src, trim(dst, {_BLANKS}) as dst from edges join last using (project_id, snapshot_no))"""
@@ -199,6 +200,36 @@ def conflict_detect(spark, sf):
     return merge.conflicts(fragments(spark, sf), ["project_id", "id"])
 
 
+_EFRAG = f"""with k as (select project_id, edge_id as id, type, src, dst, description, attrs, analyzed_at, concat_ws(chr(0), coalesce(type, ''), coalesce(src, ''), coalesce(dst, ''), coalesce(description, ''), {_ATTRS_TEXT}, '') as ek
+ from (select distinct project_id, snapshot_no, edge_id, type, trim(src, {_BLANKS}) as src, trim(dst, {_BLANKS}) as dst, trim(description, {_BLANKS}) as description, attrs, analyzed_at from edges where edge_id is not null))"""
+
+
+@query(_EFRAG + """, t as (select project_id, id, type, src, dst from k qualify row_number() over (partition by project_id, id order by analyzed_at desc nulls last, ek desc) = 1),
+ p as (select project_id, id, description from k where description <> '' qualify row_number() over (partition by project_id, id order by analyzed_at desc nulls last, ek desc) = 1),
+ c as (select project_id, id, count(*) as fragments from k group by 1, 2)
+ select c.project_id, c.id, t.type, t.src, t.dst, coalesce(p.description, '') as description, c.fragments from c join t using (project_id, id) left join p using (project_id, id)""")
+def merge_edges(spark, sf):
+    clean = [strip(F.col(c)).alias(c) for c in ("src", "dst", "description")]
+    e = table(spark, sf, "edges").where("edge_id is not null").select("project_id", "snapshot_no", F.col("edge_id").alias("id"), "type", *clean, F.array_sort(F.map_entries("attrs")).alias("__a"), "analyzed_at").distinct()
+    e = e.withColumns({"attrs": F.map_from_entries("__a"), "adapter": F.lit(""), "fact_rank": F.lit(0)})
+    return merge.merge_edges(e, ["project_id", "id"])
+
+
+@query(f"""with {_FRAG}, s as (select project_id, id, analyzed_at as detected_at, coalesce(source_path, '') as reason, coalesce(attrs['sourceFingerprint'], '') as source_fingerprint, '' as current_fingerprint, coalesce(adapter, '') as cause from frag where stale),
+ w as (select * from s qualify row_number() over (partition by project_id, id order by detected_at desc nulls last, reason desc, source_fingerprint desc, cause desc) = 1), i as (select distinct project_id, id from frag)
+ select i.project_id, i.id, w.id is not null as stale, w.detected_at, w.reason, w.source_fingerprint, w.current_fingerprint, w.cause from i left join w on w.project_id = i.project_id and w.id = i.id""")
+def merge_stale(spark, sf):
+    """Latest stale mark of every node; the path stands for the reason and the adapter for the cause."""
+    f = fragments(spark, sf).select("project_id", "id", "stale", F.col("analyzed_at").alias("detected_at"), F.col("source_path").alias("reason"), F.try_element_at("attrs", F.lit("sourceFingerprint")).alias("source_fingerprint"), F.lit("").alias("current_fingerprint"), F.col("adapter").alias("cause"))
+    return merge.merge_stale(f, ["project_id", "id"])
+
+
+@query("select project_id, '1.0' as schema_version, coalesce(max(target_commit) filter (trim(target_commit) <> ''), '') as target_commit, max(analyzed_at) as analyzed_at from nodes group by 1")
+def merge_root(spark, sf):
+    n = table(spark, sf, "nodes").select("project_id", "target_commit", "analyzed_at", F.lit("1.0").alias("schema_version"))
+    return merge.merge_root(n, KEYS)
+
+
 # Validation (K15) -----------------------------------------------------------------------------------
 
 
@@ -276,7 +307,7 @@ def diff_semantic(spark, sf):
     return diff.diff_elements(b, a, ["project_id", "id"], ["type", "display_name", "description"])
 
 
-@query(f"with {_DIFF} select 'node' as kind, change, count(*) as elements from dn where change <> 'MODIFIED' or len(changed_fields) > 0 group by 2")
+@query()
 def diff_summary(spark, sf):
     return diff.diff_summary(node_changes(spark, sf), edge_changes(spark, sf))
 
@@ -287,9 +318,21 @@ def diff_full(spark, sf):
     return node_changes(spark, sf).withColumn("kind", F.lit("node")).unionByName(edge_changes(spark, sf).withColumn("kind", F.lit("edge")))
 
 
-@query(f"with {_DIFF}, t as (select change, id, row_number() over (partition by change order by id, project_id) as rn, count(*) over (partition by change) as c from dn where change <> 'MODIFIED' or len(changed_fields) > 0) select change, id, greatest(0, c - 4) as more from t where rn <= 4")
+@query(f"""{_GRAPH.split("n as")[0]} prev as (select x.project_id, max(x.snapshot_no) as snapshot_no from nodes x join last l on x.project_id = l.project_id and x.snapshot_no < l.snapshot_no group by 1),
+ ed as (select project_id, snapshot_no, edge_id as id, coalesce(trim(type, {_BLANKS}), '') as type, coalesce(trim(src, {_BLANKS}), '') as src, coalesce(trim(dst, {_BLANKS}), '') as dst from edges where edge_id is not null qualify row_number() over (partition by project_id, snapshot_no, edge_id order by analyzed_at desc) = 1),
+ a as (select ed.* from ed join last using (project_id, snapshot_no) where project_id in (select project_id from prev)), b as (select ed.* from ed join prev using (project_id, snapshot_no)),
+ d as (select coalesce(a.project_id, b.project_id) as project_id, coalesce(a.id, b.id) as id, case when b.id is null then 'ADDED' when a.id is null then 'REMOVED' else 'MODIFIED' end as change,
+  (a.type, a.src, a.dst) is distinct from (b.type, b.src, b.dst) as differs from a full join b on a.project_id = b.project_id and a.id = b.id)
+ select project_id, change, count(*) as edges from d where differs group by 1, 2""")
+def diff_edges(spark, sf):
+    """Edges added, removed, or changed in type or ends between the last two snapshots, per project."""
+    ends = F.arrays_overlap("changed_fields", F.array(F.lit("type"), F.lit("src"), F.lit("dst")))
+    return edge_changes(spark, sf).where((F.col("change") != "MODIFIED") | ends).groupBy("project_id", "change").agg(F.count("*").alias("edges"))
+
+
+@query()
 def top_changes(spark, sf):
-    return reports.top_per_kind(node_changes(spark, sf))
+    return reports.top_per_kind(node_changes(spark, sf), keys=KEYS)
 
 
 @query(f"""with {_PAIR} select b.project_id, b.id, (a.id is null or a.attrs['sourceFingerprint'] is distinct from b.attrs['sourceFingerprint']) as stale,
@@ -332,39 +375,36 @@ def shortest_path(spark, sf):
     return traverse.shortest_paths(starts, cut(traverse.steps(e, traverse.OUTGOING, None, KEYS)), 3, KEYS).withColumn("path", F.array_join("path", " > "))
 
 
-@query(_GRAPH + f""", x as (select project_id, src, dst from e where type in {reports.USAGE_EDGES}), r(project_id, source, node, depth) as (select project_id, id, id, 0 from n where type = 'DB_TABLE'
- union select r.project_id, r.source, x.src, r.depth + 1 from r join x on x.project_id = r.project_id and x.dst = r.node where r.depth < 3 and x.src is not null) select project_id, source, node, min(depth) as depth from r group by 1, 2, 3""")
+@query(_GRAPH + f""", x as (select project_id, src, dst from e where type in {reports.USAGE_EDGES}), r(project_id, source, node, depth) using key (project_id, source, node) as (select distinct project_id, id, id, 0 from n where type = 'DB_TABLE'
+ union select r.project_id, r.source, x.src, min(r.depth + 1) from r join x on x.project_id = r.project_id and x.dst = r.node where x.src is not null and not exists (select 1 from recurring.r q where q.project_id = r.project_id and q.source = r.source and q.node = x.src) group by 1, 2, 3) select project_id, source, node, depth from r""")
 def reverse_usage(spark, sf):
     n, e = graph(spark, sf)
     return reports.table_usage(n.where("type = 'DB_TABLE'"), e, None, KEYS)
 
 
-@query(_GRAPH + f""", x as (select project_id, src, dst from e where type in {reports.EXECUTION_EDGES}), r(project_id, source, node, depth) as (select project_id, id, id, 0 from n where type = 'HTTP_ENDPOINT'
- union select r.project_id, r.source, x.dst, r.depth + 1 from r join x on x.project_id = r.project_id and x.src = r.node where r.depth < 3 and x.dst is not null) select project_id, source, node, min(depth) as depth from r group by 1, 2, 3""")
+@query(_GRAPH + f""", x as (select project_id, src, dst from e where type in {reports.EXECUTION_EDGES}), r(project_id, source, node, depth) using key (project_id, source, node) as (select distinct project_id, id, id, 0 from n where type = 'HTTP_ENDPOINT'
+ union select r.project_id, r.source, x.dst, min(r.depth + 1) from r join x on x.project_id = r.project_id and x.src = r.node where x.dst is not null and not exists (select 1 from recurring.r q where q.project_id = r.project_id and q.source = r.source and q.node = x.dst) group by 1, 2, 3) select project_id, source, node, depth from r""")
 def reach_all_flows(spark, sf):
     n, e = graph(spark, sf)
     return reports.flow_reach(n.where("type = 'HTTP_ENDPOINT'"), e, None, KEYS)
 
 
 @query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
- r(project_id, source, node, depth) as (select project_id, id, id, 0 from c union select r.project_id, r.source, bt.b, r.depth + 1 from r join bt on bt.project_id = r.project_id and bt.a = r.node where r.depth < 2 and bt.b is not null)
+ r(project_id, node) as (select project_id, id from c union select r.project_id, bt.b from r join bt on bt.project_id = r.project_id and bt.a = r.node where bt.b is not null)
  select distinct project_id, node from r where not exists (select 1 from c where c.project_id = r.project_id and c.id = r.node)""")
 def impact_transitive(spark, sf):
     n, e = graph(spark, sf)
     return traverse.impact(n.where("stale"), n, e, None, KEYS, "HTTP_ENDPOINT")["transitive"]
 
 
-@query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
- r(project_id, source, node, depth, path) as (select project_id, id, id, 0, [id] from c union all select r.project_id, r.source, bt.b, r.depth + 1, list_append(r.path, bt.b) from r join bt on bt.project_id = r.project_id and bt.a = r.node where r.depth < 2 and bt.b is not null),
- p as (select * from r qualify row_number() over (partition by project_id, source, node order by depth, path) = 1)
- select p.project_id, p.source, p.node, p.depth, array_to_string(p.path, ' > ') as path from p join n on n.project_id = p.project_id and n.id = p.node and n.type = 'HTTP_ENDPOINT' qualify row_number() over (partition by p.project_id, p.node order by p.depth, p.source, p.path) = 1""")
+@query()
 def impact_flows(spark, sf):
     n, e = graph(spark, sf)
     return traverse.impact(n.where("stale"), n, e, None, KEYS, "HTTP_ENDPOINT")["flows"].withColumn("path", F.array_join("path", " > "))
 
 
 @query(_GRAPH + """, bt as (select project_id, src as a, dst as b from e union select project_id, dst, src from e), c as (select project_id, id from n where stale),
- r(project_id, node, depth) as (select project_id, id, 0 from c union select r.project_id, bt.b, r.depth + 1 from r join bt on bt.project_id = r.project_id and bt.a = r.node where r.depth < 2 and bt.b is not null)
+ r(project_id, node) as (select project_id, id from c union select r.project_id, bt.b from r join bt on bt.project_id = r.project_id and bt.a = r.node where bt.b is not null)
  select distinct n.project_id, n.id, 'IMPACTED_IMPLEMENTATION' as cause from n join r on r.project_id = n.project_id and r.node = n.id where n.type = 'CUSTOM_HTML_SECTION' and not n.stale""")
 def stale_impact(spark, sf):
     n, e = graph(spark, sf)
@@ -398,6 +438,29 @@ def evidence_report(spark, sf):
     return d.groupBy("type", "scope", "adapter", F.upper("confidence").alias("confidence")).agg(F.count("*").alias("rows"))
 
 
+@query(f"""{_GRAPH}, x as (select project_id, src, dst from e where type in {reports.EXECUTION_EDGES}), r(project_id, source, node) as (select distinct project_id, id, id from n where type = 'HTTP_ENDPOINT'
+ union select r.project_id, r.source, x.dst from r join x on x.project_id = r.project_id and x.src = r.node where x.dst is not null),
+ t as (select project_id, id as target, id as at from n where type in ('DB_TABLE', 'DB_COLUMN') union all select project_id, id, regexp_replace(id, '^column:(.*)\\.[^.]*$', 'table:\\1') from n where type = 'DB_COLUMN')
+ select distinct t.project_id, t.target, r.source as flow from t join r on r.project_id = t.project_id and r.node = t.at""")
+def flows_using(spark, sf):
+    n, e = graph(spark, sf)
+    return reports.flows_using(reports.flow_reach(n.where("type = 'HTTP_ENDPOINT'"), e, None, KEYS), n, KEYS)
+
+
+@query(_GRAPH + " select project_id, id, 'STALE' as state from n where stale union all (select distinct project_id, id, 'CONFLICTED' from (select project_id, id, count(distinct type) as types from frag group by 1, 2) c join n using (project_id, id) where c.types > 1)")
+def state_report(spark, sf):
+    """Stale nodes of the latest graph, and those that snapshots type differently."""
+    n, _ = graph(spark, sf)
+    torn = fragments(spark, sf).groupBy("project_id", "id").agg((F.count_distinct("type") > 1).alias("conflicted"))
+    return reports.state_report(n.join(torn, ["project_id", "id"], "left"), KEYS)
+
+
+@query(_GRAPH + " select distinct e.project_id, dst as node, src as neighbour from e join n on n.project_id = e.project_id and n.id = e.src")
+def predecessors(spark, sf):
+    n, e = graph(spark, sf)
+    return traverse.neighbours(e, n, traverse.INCOMING, KEYS)
+
+
 _DIRS = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in ids.PAGE_DIRECTORIES.items()) + " else 'other' end"
 _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 70), '-$', '')"
 
@@ -408,7 +471,7 @@ def search_index(spark, sf):
     return n.select("project_id", "id", "type", F.col("display_name").alias("title"), ids.page_path(F.col("type"), F.col("id")).alias("url"))
 
 
-@query(_GRAPH + " select id, type, display_name as title, coalesce(description, '') as description from n where project_id = 'atlas-core' and contains(lower(concat_ws(' ', coalesce(display_name, ''), id, type, coalesce(description, ''))), 'ledger') order by id limit 30")
+@query(_GRAPH + " select id, type, display_name as title, coalesce(description, '') as description from n where contains(lower(concat_ws(' ', coalesce(display_name, ''), id, type, coalesce(description, ''))), 'ledger') order by id, project_id limit 30")
 def search_top(spark, sf):
     n, _ = graph(spark, sf)
     docs = n.select("project_id", "id", "type", F.col("display_name").alias("title"), F.coalesce("description", F.lit("")).alias("description"))
@@ -425,6 +488,11 @@ def node_relations(spark, sf):
     return d.join(o, ["project_id", "other"]).groupBy("project_id", "node", "way", "type").agg(F.count("*").alias("relations"), F.array_join(F.array_sort(F.collect_set("adapter")), ",").alias("adapters"))
 
 
+@query(_GRAPH + f" select project_id, {_DIRS} as directory, id, coalesce(nullif(display_name, ''), id) as title from n")
+def collection_index(spark, sf):
+    return reports.collection_index(graph(spark, sf)[0], KEYS)
+
+
 @query(_GRAPH + f", p as (select distinct {_DIRS} || '/' || id as path from frag), x as (select distinct {_DIRS} || '/' || id as path from n) select path from p where path not in (select path from x)")
 def stale_outputs(spark, sf):
     n, _ = graph(spark, sf)

@@ -318,7 +318,11 @@ def nth_mock(spark, sf):
     return resolve.nth_mock(r, m).select("seq", "mock_id")
 
 
-@query("select id, p as route, q as server_route from (values (1, '/projects/{id}', '/projects/{id}/x'), (2, '/a/{x}/b', '/a/:x/b'), (3, '/', '/')) v(id, p, q)")
+@query(r"""with o as (select distinct observation_id as id, json_extract_string(payload, '$.route') as r from raw_observations where json_valid(payload) and json_extract_string(payload, '$.route') is not null),
+ s as (select id, r, regexp_replace(regexp_replace(trim(r), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') as p from o),
+ q as (select id, list_transform(string_split(p, '/'), lambda x: case when regexp_full_match(x, '[0-9]+') then '{id}' when x like ':%' then '{' || x[2:] || '}' else x end) as a,
+  list_transform(string_split(r, '/'), lambda x: case when regexp_full_match(x, '[0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') then '{id}' else x end) as b from s)
+ select id, case when array_to_string(a, '/') = '' then '/' else array_to_string(a, '/') end as route, array_to_string(b, '/') as server_route from q""")
 def ui_routes(spark, sf):
     """Both normal forms of every observation's route."""
     o = table(spark, sf, "raw_observations").select(F.col("observation_id").alias("id"), F.get_json_object("payload", "$.route").alias("r")).where("r is not null").distinct()
@@ -332,7 +336,7 @@ def conflict_dedup(spark, sf):
     return merging.dedupe_conflicts(d).select("conflict_id", "status", "description")
 
 
-@query("select * from (values ('d', 'a', 0::bigint, 1), ('d', 'z', 2, 2), ('d', 'b', 0, 3)) v(diagram, \"table\", incoming, place)")
+@query()
 def er_hub_order(spark, sf):
     """Every relation with columns or constraints, a diagram for each schema; foreign keys of all relations count."""
     from evigraph.operators import nested

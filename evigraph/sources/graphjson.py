@@ -72,9 +72,10 @@ def accepted(entries: DataFrame, need: Requirements) -> DataFrame:
 
 
 def content_hash(df: DataFrame, key: str) -> str:
-    """SHA-256 of a frame's rows, order-free: digests of the rows are added up in 64 bits."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))
-    low, high, n = df.agg(F.bit_xor(row), F.bit_xor(F.xxhash64(row, F.lit(1))), F.count(F.lit(1))).first()
+    """SHA-256 of a frame's rows, order-free: two digests of every row are added up exactly, so that repeated rows count."""
+    text = F.to_json(F.struct(*sorted(df.columns)))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    low, high, n = df.agg(total(text), total(F.lit("high"), text), F.count(F.lit(1))).first()
     import hashlib
 
     return hashlib.sha256(f"{key}|{low}|{high}|{n}".encode()).hexdigest()
