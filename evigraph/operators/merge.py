@@ -218,6 +218,21 @@ def conflicts(fragments: DataFrame, keys: Sequence[str], enumerated: Sequence[st
     return every.withColumn("conflict_id", F.concat(F.lit("conflict:"), digest(subject, F.col("conflict_type"), F.col("field"), F.col("description"))))
 
 
+def has_open_conflict(conflicts: Column) -> Column:
+    """Whether an array of conflicts (status) has an open one."""
+    return F.coalesce(F.exists(conflicts, lambda c: F.upper(c["status"]) == "OPEN"), F.lit(False))
+
+
+def is_durable(type_: Column, evidence_types: Column) -> Column:
+    """Documentation that outlives its source: a custom node, or one with evidence of a person, a doc comment or an agent."""
+    return type_.startswith("CUSTOM") | F.coalesce(F.arrays_overlap(evidence_types, F.array(*[F.lit(t) for t in ("HUMAN_INPUT", "JAVADOC", "AGENT_INFERENCE")])), F.lit(False))
+
+
+def is_runtime(type_: Column, evidence_types: Column) -> Column:
+    """An element of a run: a trace, a span, or anything known by observation."""
+    return type_.isin("TRACE", "SPAN") | F.coalesce(F.arrays_overlap(evidence_types, F.array(F.lit("RUNTIME_OBSERVATION"), F.lit("PLAYWRIGHT_OBSERVATION"))), F.lit(False))
+
+
 def dedupe_conflicts(rows: DataFrame) -> DataFrame:
     """One row per conflict id: OPEN dominates, latest time, longest description, united evidence.
 

@@ -5,7 +5,7 @@ Plans are driver decisions over a closed set of categories; fragments stay DataF
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import strip
+from evigraph.operators import diff, traverse, validate
+from evigraph.session import cut
 
 # Categories after which only a full refresh is safe.
 UNSAFE = frozenset({"CONFIGURATION", "UNKNOWN", "UNSAFE_GIT_STATE"})
@@ -116,3 +118,35 @@ def retained_documentation(previous: DataFrame, current: DataFrame) -> DataFrame
         F.concat(F.lit("custom-retained:"), "id").alias("id"), F.lit("CUSTOM_HTML_SECTION").alias("type"), "display_name", "description"
     )
     return custom.unionByName(human)
+
+
+NODE_FIELDS, EDGE_FIELDS = ("type", "display_name", "description", "attributes"), ("type", "src", "dst")
+
+
+def cycle(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], keys: Sequence[str] = (), documented: Sequence[str] = ("CUSTOM_HTML_SECTION",)) -> dict[str, DataFrame]:
+    """One round of a refresh: difference, stale marks, difference again, validation, impact.
+
+    Both graphs are (nodes, edges), nodes with type, display_name, description, ``attributes`` (one
+    comparable value), fingerprint and stale, unique in ``keys`` and id. Results by name:
+
+    * ``nodes``: the later nodes with their new stale mark;
+    * ``stale``: (keys, id, cause) by a changed or missing source, or by impact on documentation that didn't change;
+    * ``node_diff``, ``edge_diff``: the difference, stale marks included;
+    * ``findings``: the rules broken by the later graph;
+    * ``impacted``: nodes within reach of a change in the earlier or the later graph.
+    """
+    ident, (nodes_b, edges_b), (nodes_a, edges_a) = [*keys, "id"], before, after
+    node_diff, edge_diff = diff.diff_elements(nodes_b, nodes_a, ident, NODE_FIELDS), cut(diff.diff_elements(edges_b, edges_a, ident, EDGE_FIELDS))
+    marked = nodes_b.where("fingerprint is not null").select(*ident, F.lit(None).cast("string").alias("source_id"), "fingerprint")
+    sources = nodes_a.where("fingerprint is not null").select(*ident, "fingerprint")
+    by_source = diff.stale_by_fingerprint(marked, sources, False, keys).where("stale").select(*ident, "cause")
+    roots = cut(diff.change_roots(node_diff, edge_diff, edges_b.unionByName(edges_a), keys))
+    reached = [cut(traverse.nearest(roots.select(*keys, F.col("id").alias("source"), F.col("id").alias("node")), cut(traverse.steps(e, traverse.BOTH, None, keys)), None, keys)) for e in (edges_b, edges_a)]
+    impacted = reached[0].unionByName(reached[1]).select(*keys, F.col("node").alias("id")).distinct()
+    docs = nodes_a.where(F.col("type").isin(*documented))
+    same = docs.join(node_diff.select(*ident), ident, "left_anti")
+    by_impact = diff.stale_by_impact(docs, reached[1], same, keys)
+    stale = cut(by_source.unionByName(by_impact).groupBy(*ident).agg(F.max("cause").alias("cause")))
+    remarked = nodes_a.drop("stale").join(stale.select(*ident, F.lit(True).alias("__stale")), ident, "left").withColumn("stale", F.coalesce("__stale", F.lit(False))).drop("__stale")
+    again = diff.diff_elements(nodes_b.withColumn("stale", F.coalesce("stale", F.lit(False))), remarked, ident, (*NODE_FIELDS, "stale"))
+    return {"nodes": remarked, "stale": stale, "node_diff": again, "edge_diff": edge_diff, "findings": validate.validate(nodes_a, edges_a, keys), "impacted": impacted}

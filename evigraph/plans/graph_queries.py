@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from evigraph import schema as sc
 from evigraph.functions import codes, ids
 from evigraph.functions.text import strip
-from evigraph.operators import diff, merge, reports, resolve, snapshots, traverse, validate
+from evigraph.operators import diff, merge, refresh, reports, resolve, snapshots, traverse, validate
 from evigraph.session import cut, lookup_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +174,15 @@ def evidence_dedup(spark, sf):
     return merge.dedupe_evidence(e.select("evidence_id", "type", "source", "description", "observed_at", "adapter", "confidence"), ["evidence_id"])
 
 
+@query("""select distinct e.id as stored_id, 'evidence:' || substr(sha256(concat_ws(chr(0), coalesce(e.type, ''), coalesce(e.scope, ''), coalesce(e.source, ''), coalesce(e.description, ''), '', '', '')), 1, 24) as evidence_id
+ from (select unnest(evidence) as e from endpoint_declarations)""")
+def evidence_ids(spark, sf):
+    """Semantic id of every evidence beside the one it came with; the table has neither locations nor details."""
+    e, none = table(spark, sf, "endpoint_declarations").select(F.inline("evidence")), F.lit("")
+    new = merge.evidence_id(F.col("type"), F.col("scope"), F.col("source"), F.col("description"), none, none, F.lit(None).cast("map<string,string>"))
+    return e.select(F.col("id").alias("stored_id"), new.alias("evidence_id")).distinct()
+
+
 _CONF_CASE = "case upper(e.confidence) when 'HUMAN_REVIEWED' then 600 when 'OBSERVED' then 500 when 'DECLARED' then 400 when 'INFERRED' then 300 when 'STALE' then -100 when 'CONFLICTED' then -200 else 0 end"
 
 
@@ -312,6 +322,21 @@ def diff_summary(spark, sf):
     return diff.diff_summary(node_changes(spark, sf), edge_changes(spark, sf))
 
 
+@query()
+def refresh_cycle(spark, sf):
+    """What a refresh from the last snapshot but one to the last finds: rows by project and finding."""
+    prev, last = _last_two(spark, sf)
+    n = fragments(spark, sf).withColumns({
+        "display_name": F.coalesce("display_name", F.lit("")), "description": F.coalesce("description", F.lit("")), "attributes": snapshots.attributes_hash(F.col("attrs"), F.col("type")),
+        "fingerprint": F.try_element_at("attrs", F.lit("sourceFingerprint")), "stale": F.coalesce("stale", F.lit(False)),
+    }).select("project_id", "snapshot_no", "id", *refresh.NODE_FIELDS, "fingerprint", "stale")
+    e = table(spark, sf, "edges").where("edge_id is not null").groupBy("project_id", "snapshot_no", F.col("edge_id").alias("id")).agg(F.max(F.struct("analyzed_at", "type", strip(F.col("src")).alias("src"), strip(F.col("dst")).alias("dst"))).alias("__e")).select("project_id", "snapshot_no", "id", "__e.type", "__e.src", "__e.dst")
+    out = refresh.cycle(*[(cut(_at(n, at).drop("snapshot_no")), cut(_at(e, at).drop("snapshot_no"))) for at in (prev, last)], KEYS)
+    count = lambda k, what: out[k].groupBy("project_id", what.alias("finding")).agg(F.count("*").alias("rows"))
+    parts = [count("node_diff", F.concat(F.lit("node "), "change")), count("edge_diff", F.concat(F.lit("edge "), "change")), count("stale", F.concat(F.lit("stale "), "cause")), count("findings", F.concat(F.lit("rule "), "code")), count("impacted", F.lit("impacted"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def diff_full(spark, sf):
     """Every added, removed and changed node and edge with its changed fields."""

@@ -153,3 +153,20 @@ def reconcile(decls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return grouped.withColumn(
         "conflicts", F.array_compact(F.array(F.when(apart, F.lit("responses")), F.when(F.size("__body") > 1, F.lit("requestBodyType"))))
     ).drop("__java", "__api", "__body")
+
+
+def error_responses(endpoints: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(endpoint_id, status, types, handlers): responses of the error handlers that apply to each endpoint, by status.
+
+    ``endpoints``: endpoint_id, controller; ``handlers``: handler_id, controller (null: advice for all
+    controllers), status, type. Advice for all is summed by status first and travels as one row, the
+    handlers of a controller meet its endpoints by key.
+    """
+    status = http_status(F.col("status")).alias("status")
+    by = lambda *k: handlers.groupBy(*k, status).agg(F.collect_set("type").alias("t"), F.collect_set("handler_id").alias("h"))
+    general = handlers.where("controller is null").groupBy(status).agg(F.collect_set("type").alias("t"), F.collect_set("handler_id").alias("h"))
+    shared = general.agg(F.collect_list(F.struct("status", "t", "h")).alias("__all")).withColumn("__one", F.lit(1))  # as many entries as there are statuses
+    everywhere = endpoints.select("endpoint_id", F.lit(1).alias("__one")).join(F.broadcast(shared), "__one").select("endpoint_id", F.inline("__all"))
+    own = endpoints.where("controller is not null").join(by("controller").where("controller is not null"), "controller").select("endpoint_id", "status", "t", "h")
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return everywhere.unionByName(own).groupBy("endpoint_id", "status").agg(flat("t").alias("types"), flat("h").alias("handlers"))

@@ -117,3 +117,35 @@ def inside(root: str, path: str) -> str:
     if full != base and not full.startswith(base + os.sep):
         raise ValueError(f"{path} leaves {root}")
     return full
+
+
+DIFF = "kind string, change string, id string, changed_fields array<string>"
+
+
+def write_diff(diff: DataFrame, path: str) -> None:
+    """(kind, change, id, changed_fields) rows as JSON lines, replacing an earlier difference."""
+    diff.select("kind", "change", "id", "changed_fields").write.mode("overwrite").json(path)
+
+
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """A written difference; one that isn't there or can't be read is empty."""
+    try:
+        rows = spark.read.schema(DIFF).option("mode", "DROPMALFORMED").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], DIFF)
+    return rows.where("id is not null and change is not null")
+
+
+def require_managed(spark: SparkSession, folder: str, marker: str = ".evigraph-output") -> None:
+    """Raise if a folder has files but no marker of an earlier run; otherwise leave the marker. Works on any Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = jvm.org.apache.hadoop.fs.Path(path, marker)
+    if fs.exists(path) and not fs.exists(mark) and len(fs.listStatus(path)) > 0:
+        raise ValueError(f"{folder} holds files that no run of ours wrote")
+    fs.mkdirs(path)
+    if not fs.exists(mark):
+        fs.create(mark).close()
