@@ -18,6 +18,7 @@ texts of any length are searched whole; rows with a null key are left out.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -33,26 +34,30 @@ from evigraph.session import spread, union_all
 
 WINDOW, OVERLAP = 240, 72
 
-# Words before a name that aren't part of it.
-TITLES = frozenset("mr mrs ms mx miss dr prof mme mlle madame monsieur herr frau sir sra sr señor señora cc by from for with to kunde kundin der die das the re tel bitte rappeler move call please ask thanks spoke requested verified".split())
+# Titles and forms of address before a name, which aren't part of it.
+TITLES = frozenset("mr mrs ms mx miss dr prof mme mlle m madame monsieur herr herrn frau sir sra sr señor señora".split())
+# Small words inside a name.
+PARTICLES = frozenset("de del der den da di du la le van von zu zum y e bin al ibn af".split())
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?,?$")
+_LAST_WORD = re.compile(r"([^\W\d_]+)\.?[ \u00a0]+$")
 _PLAIN = re.compile(r"[A-Za-z0-9À-ÿ][A-Za-z0-9_À-ÿ.%+\-']*[@＠][A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _AT = r"(?:\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)"
 _DOT = r"(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\.)"
 _HIDDEN_AT = re.compile(rf"[A-Za-z0-9][\w.+\-]*{_AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)+", re.IGNORECASE)
 _EN_ADDRESS = re.compile(
-    r"(?<![\w#-])\d{1,5}[A-Za-z]?[ \u00a0](?:[A-Z][\w'’.]*[ \u00a0]){1,4}?(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Court|Ct|Boulevard|Blvd|Drive|Dr|Way|Place|Pl|Square|Terrace)\b\.?"
-    r"(?:,?[ \u00a0](?:Apt|Unit|Suite|Flat|Apartment)\.?[ \u00a0]?\w{1,5}|,?[ \u00a0]#[ \u00a0]?\w{1,5})?(?:,[ \u00a0][A-Z][\w'’\-]+(?:[ \u00a0][A-Z][\w'’\-]+){0,2}(?![ \u00a0]?[\d@]))?(?:,?[ \u00a0][A-Z]{2}[ \u00a0]\d{4,6})?"
+    r"(?<![\w#-])\d{1,5}[A-Za-z]?[ \u00a0](?:[A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w'’.]*[ \u00a0]){1,4}?(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Court|Ct|Boulevard|Blvd|Drive|Dr|Way|Place|Pl|Square|Terrace)\b\.?"
+    r"(?:,?[ \u00a0](?:Apt|Unit|Suite|Flat|Apartment)\.?[ \u00a0]?\w{1,5}|,?[ \u00a0]#[ \u00a0]?\w{1,5})?(?:,[ \u00a0][A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w'’\-]+(?:[ \u00a0][A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w'’\-]+){0,2}(?![ \u00a0]?[\d@]))?(?:,?[ \u00a0][A-Z]{2}[ \u00a0]\d{4,6})?"
 )
-_DE_ADDRESS = re.compile(r"(?<!\w)[A-ZÄÖÜ][\w\-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer)[ \u00a0]\d{1,4}[ \u00a0]?[a-z]?\b(?:,[ \u00a0]\d{5}[ \u00a0][A-ZÄÖÜ][\w\-]+(?:[ \u00a0][A-Z][\w\-]+)?)?")
-_FR_ADDRESS = re.compile(r"(?<!\w)\d{1,4}(?:[ \u00a0]?(?:bis|ter))?,?[ \u00a0](?:rue|chemin|avenue|allée|boulevard|place|impasse|quai|route)[ \u00a0](?:(?:de la|de l['’]|du|des|de|d['’])[ \u00a0]?)?[^\W\d_][\w'’\-]*(?:[ \u00a0][^\W\d_][\w'’\-]*){0,3}(?:,[ \u00a0]\d{5}[ \u00a0][^\W\d_][\w'’\-]+(?:[ \u00a0][A-Z][\w'’\-]+)?)?")
+_DE_ADDRESS = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w\-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer)[ \u00a0]\d{1,4}[ \u00a0]?[a-z]?\b(?:,[ \u00a0]\d{5}[ \u00a0][A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w\-]+(?:[ \u00a0][A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w\-]+)?)?")
+_FR_ADDRESS = re.compile(r"(?<!\w)\d{1,4}(?:[ \u00a0]?(?:bis|ter))?,?[ \u00a0](?:rue|chemin|avenue|allée|boulevard|place|impasse|quai|route)[ \u00a0](?:(?:de la|de l['’]|du|des|de|d['’])[ \u00a0]?)?[^\W\d_][\w'’\-]*(?:[ \u00a0][^\W\d_][\w'’\-]*){0,3}(?:,[ \u00a0]\d{5}[ \u00a0][^\W\d_][\w'’\-]+(?:[ \u00a0][A-ZÀ-ÖØ-ÞČŠŽĆŁŚŹŻĐŐŰŇŘŤĎ][\w'’\-]+)?)?")
 _JA_ADDRESS = re.compile(r"[一-鿿]{2,3}[都道府県][一-鿿ぁ-ヿ]{1,8}?[市区郡][一-鿿ぁ-ヿ]{1,10}?[0-9０-９]{1,4}(?:[\-－ー丁目番地の号]{1,2}[0-9０-９]{1,4}){0,3}(?:号)?")
 _PHONE = re.compile(r"(?<![A-Za-z0-9.０-９])(?:[+＋][0-9０-９]|[(（][0-9０-９]|[0-9０-９])(?:[\s().\-/（）－]{0,2}[0-9０-９]){6,14}(?![A-Za-z0-9０-９])")
 _ID = re.compile(
     r"(?<![A-Za-z0-9\-])(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z]|\d{3}[\- ]\d{2}[\- ]\d{4}|\d{4}[\- ]\d{4}[\- ]\d{4}|\d\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}|\d{2}\s\d{3}\s\d{3}\s\d{3}"
-    r"|[A-Z]{2}\d{3}-\d{4}-\d{4}|\d{2}[A-Z]{2}\d{5}|[A-Z]{1,2}\d{7,9}|\d{8}[A-Z]|\d{11,12})(?![A-Za-z0-9\-])"
+    r"|[A-Z]{2}\d{3}-\d{4}-\d{4}|[A-Z]\d{4}-\d{5}-\d{5}|\d{2}[A-Z]{2}\d{5}|[A-Z]{1,2}\d{7,9}|\d{8}[A-Z]|\d{11,12})(?![A-Za-z0-9\-])"
 )
 _FORMS = {"EMAIL": (_PLAIN, _HIDDEN_AT), "PHONE": (_PHONE,), "ID_NUMBER": (_ID,), "ADDRESS": (_EN_ADDRESS, _DE_ADDRESS, _FR_ADDRESS, _JA_ADDRESS)}
+_KANJI = re.compile(r"[一-鿿々]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿々]")
 
 
@@ -82,6 +87,11 @@ def runs(labels: np.ndarray) -> list[tuple[int, int, str]]:
 def _snap(text: str, labels: np.ndarray, a: int, b: int, code: int) -> tuple[int, int]:
     """The run grown or cut to words of which at least half is labelled; East Asian text as it is."""
     if _CJK.search(text[a:b]):
+        # a word of Chinese characters isn't cut before its last one on either side
+        if LABELS[code] == "NAME":
+            kanji = lambda i: 0 <= i < len(text) and bool(_KANJI.match(text[i]))
+            a -= kanji(a) and kanji(a - 1) and not kanji(a - 2)
+            b += kanji(b - 1) and kanji(b) and not kanji(b + 1)
         return a, b
     lo, hi = a, b
     while lo > 0 and not text[lo - 1].isspace() and not _CJK.match(text[lo - 1]):
@@ -93,6 +103,23 @@ def _snap(text: str, labels: np.ndarray, a: int, b: int, code: int) -> tuple[int
     return (kept[0][0], kept[-1][1]) if kept else (a, b)
 
 
+def _capitals(text: str, a: int, b: int) -> tuple[int, int]:
+    """Of a run with words in capitals and others, the longest stretch of the former; particles may stand inside."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text[a:b])]
+    if len({w[0].isupper() for _, _, w in words}) < 2:
+        return a, b
+    best, from_ = (0, 0), 0
+    for k in range(len(words) + 1):
+        if k == len(words) or not (words[k][2][0].isupper() or (k > from_ and words[k][2].lower() in PARTICLES)):
+            to = k
+            while to > from_ and not words[to - 1][2][0].isupper():
+                to -= 1
+            best = max(best, (to - from_, -from_))
+            from_ = k + 1
+    n, lo = best[0], -best[1]
+    return (a + words[lo][0], a + words[lo + n - 1][1]) if n else (a, b)
+
+
 def _name(text: str, a: int, b: int) -> tuple[int, int] | None:
     while a < b and (text[a].isspace() or text[a] in "\"'“”.,;:<>()[]-–—=：、「」"):
         a += 1
@@ -104,34 +131,55 @@ def _name(text: str, a: int, b: int) -> tuple[int, int] | None:
         for tail in ("さん", "様", "氏", "殿", "先生"):
             if text[a:b].endswith(tail) and b - a > len(tail):
                 b -= len(tail)
-        return (a, b) if 2 <= b - a <= 12 and not re.search(r"[0-9０-９ぁ-ん]", text[a:b]) else None
-    while (m := re.match(r"([^\W\d_]+)\.?\s+", text[a:b])) and m[1].lower() in TITLES:
+        return (a, b) if b - a >= 2 and not re.search(r"[0-9０-９ぁ-ん]", text[a:b]) else None
+    # "M." may be an initial as well, so that it isn't cut off
+    while (m := re.match(r"([^\W\d_]+)\.?\s+", text[a:b])) and m[1].lower() in TITLES and m[1] != "M":
         a += m.end()
+    if text[a:b].endswith(("'s", "’s")):
+        b -= 2
+    a, b = _capitals(text, a, b)
     words = text[a:b].split()
     if text[b - 1] == "." and not (len(words) > 1 and len(words[-1]) == 2):
         b -= 1
         words = text[a:b].split()
-    if not 1 <= len(words) <= 5 or not all(_NAME_WORD.match(w) for w in words) or len(text[a:b]) < 3:
+    if not words or not all(_NAME_WORD.match(w) for w in words) or len(text[a:b]) < 3:
         return None
-    letters = text[a:b]
-    if letters.islower() and len(words) < 2:
+    # a family name alone is told from any other word by its title
+    if len(words) == 1 and not ((before := _LAST_WORD.search(text[:a])) and before[1].lower() in TITLES):
         return None
     return a, b
 
 
-def check(text: str, labels: np.ndarray, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+class Forms:
+    """All places in a text that have the exact form of a kind, searched once per kind and line."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known = text, {}
+
+    def near(self, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+        """Those that overlap the run, in lines it touches; the first form to claim a place keeps it."""
+        lo, hi = self.text.rfind("\n", 0, a) + 1, self.text.find("\n", b)
+        hi = len(self.text) if hi < 0 else hi
+        if (lo, hi, kind) not in self.known:
+            self.known[lo, hi, kind] = [[m.span() for m in form.finditer(self.text, lo, hi)] for form in _FORMS[kind]]
+        found: list[tuple[int, int]] = []
+        for spans in self.known[lo, hi, kind]:
+            at = bisect.bisect_right(spans, (a, len(self.text))) - 1
+            for x, y in spans[max(0, at) :]:
+                if x >= b:
+                    break
+                if y > a and not any(x < q and y > p for p, q in found):
+                    found.append((x, y))
+        return found
+
+
+def check(forms: Forms, labels: np.ndarray, a: int, b: int, kind: str) -> list[tuple[int, int]]:
     """The exact items behind a labelled run."""
-    code = LABELS.index(kind)
-    lo, hi = _snap(text, labels, a, b, code)
+    text = forms.text
     if kind == "NAME":
-        one = _name(text, lo, hi)
+        one = _name(text, *_snap(text, labels, a, b, LABELS.index(kind)))
         return [one] if one else []
-    from_, to = max(0, a - 60), min(len(text), b + 80)
-    found: list[tuple[int, int]] = []
-    for form in _FORMS[kind]:
-        for m in form.finditer(text, from_, to):
-            if m.start() < b and m.end() > a and not any(m.start() < y and m.end() > x for x, y in found):
-                found.append(_trim(text, *m.span(), kind))
+    found = [_trim(text, x, y, kind) for x, y in forms.near(a, b, kind)]
     return [(x, y) for x, y in found if 2 * (min(y, b) - max(x, a)) >= min(y - x, b - a) or kind in ("EMAIL", "ADDRESS")]
 
 
@@ -162,31 +210,39 @@ def find_items(texts: list[str], contexts: list[str]) -> list[list[tuple[int, in
         if not lab.any():
             out.append(items)
             continue
+        forms = Forms(t)
         for a, b, kind in runs(lab):
-            items.extend((x, y, kind) for x, y in check(t, lab, a, b, kind) if not any(x < q and y > p for p, q, _ in items))
+            items.extend((x, y, kind) for x, y in check(forms, lab, a, b, kind) if not any(x < q and y > p for p, q, _ in items))
         out.append(sorted(items))
     return out
 
 
-def leaves(text: str) -> list[tuple[str, str]]:
-    """(field, string) of JSON text, or the text itself."""
+def _slots(text: str) -> tuple[list, list[tuple[dict | list, object, str]], bool]:
+    """([value], (container, key, field) of every string in it, whether it is JSON) of a text."""
+    root: list = [text]
     if text[:1] in "{[\"" or text.lstrip()[:1] in ("{", "[", '"'):
         try:
-            value = json.loads(text)
+            root = [json.loads(text)]
         except (ValueError, RecursionError):
-            return [("", text)]
-        out: list[tuple[str, str]] = []
-        todo: list[tuple[str, object]] = [("", value)]
+            return root, [(root, 0, "")], False
+        out: list[tuple[dict | list, object, str]] = []
+        todo: list[tuple[dict | list, object, str]] = [(root, 0, "")]
         while todo:
-            key, v = todo.pop()
+            box, key, field = todo.pop()
+            v = box[key]
             if isinstance(v, dict):
-                todo.extend(v.items())
+                todo.extend((v, k, k) for k in v)
             elif isinstance(v, list):
-                todo.extend((key, x) for x in v)
+                todo.extend((v, i, field) for i in range(len(v)))
             elif isinstance(v, str):
-                out.append((key, v))
-        return out
-    return [("", text)]
+                out.append((box, key, field))
+        return root, out, True
+    return root, [(root, 0, "")], False
+
+
+def leaves(text: str) -> list[tuple[str, str]]:
+    """(field, string) of JSON text, or the text itself."""
+    return [(field, box[key]) for box, key, field in _slots(text)[1]]
 
 
 def redact(text: str, items: list[tuple[int, int, str]]) -> str:
@@ -230,27 +286,24 @@ def redacted(rows: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            leaf = [(i, f or batch["field"].iat[i], t) for i, text in enumerate(batch["text"]) for f, t in leaves(text)]
-            items = find_items([t for _, _, t in leaf], [f for _, f, _ in leaf])
-            new: list[dict[str, str]] = [{} for _ in range(len(batch))]
-            for (i, _, t), own in zip(leaf, items, strict=True):
+            leaf = [(i, n, f or batch["field"].iat[i], t) for i, text in enumerate(batch["text"]) for n, (f, t) in enumerate(leaves(text))]
+            items = find_items([x[3] for x in leaf], [x[2] for x in leaf])
+            new: list[dict[int, str]] = [{} for _ in range(len(batch))]
+            for (i, n, _, t), own in zip(leaf, items, strict=True):
                 if own:
-                    new[i][t] = redact(t, own)
+                    new[i][n] = redact(t, own)
             batch["redacted"] = [_rewrite(text, swap) for text, swap in zip(batch["text"], new, strict=True)]
             yield batch[["src_table", "row_key", "field", "redacted"]]
 
     return spread(rows.select("src_table", "row_key", "field", "text")).mapInPandas(scan, "src_table string, row_key string, field string, redacted string")
 
 
-def _rewrite(text: str, swap: dict[str, str]) -> str:
-    if not swap or text in swap:
-        return swap.get(text, text)
-
-    def walk(v: object) -> object:
-        if isinstance(v, dict):
-            return {k: walk(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return [walk(x) for x in v]
-        return swap.get(v, v) if isinstance(v, str) else v
-
-    return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+def _rewrite(text: str, swap: dict[int, str]) -> str:
+    """The text with new strings in some places; JSON without any stays as it is spelled."""
+    if not swap:
+        return text
+    root, slots, parsed = _slots(text)
+    for n, new in swap.items():
+        box, key, _ = slots[n]
+        box[key] = new
+    return json.dumps(root[0], ensure_ascii=False) if parsed else root[0]

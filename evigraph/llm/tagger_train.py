@@ -17,8 +17,8 @@ from evigraph.llm.tagger import BUCKETS, CLASSES, LABELS, Tagger
 from evigraph.llm.tagger_data import Maker
 
 TEXTS = 60_000
-HIDDEN, WIDTH = 16, 20
-BATCH, STEPS = 64, 144
+HIDDEN, WIDTH = 20, 20
+BATCH, STEPS = 96, 144
 
 
 def example(maker: Maker) -> tuple[str, np.ndarray]:
@@ -89,49 +89,44 @@ def step(w: dict[str, np.ndarray], batch: list[tuple[np.ndarray, np.ndarray]]) -
         x[: len(c), k], y[: len(c), k], mask[: len(c), k] = c, lab, True
     emb = w["own"][x % BUCKETS] + w["joint"][x]
     proj = emb @ w["w"] + w["b"]
-    run = []
-    for d in range(2):
-        p = proj[..., d * 4 * hid : (d + 1) * 4 * hid]
-        p = p if d == 0 else p[::-1]
-        h, c = np.zeros((size, hid), np.float32), np.zeros((size, hid), np.float32)
-        hs, cs, zs, ss, gs, tc = [], [], [], [], [], []
-        for t in range(steps):
-            zt = p[t] + h @ w["u"][d]
-            s, g = tagger.gates_of(zt[:, : 3 * hid]), tagger.squash(zt[:, 3 * hid :])
-            hs.append(h)
-            cs.append(c)
-            zs.append(zt[:, 3 * hid :])
-            c = s[:, hid : 2 * hid] * c + s[:, :hid] * g
-            th = tagger.squash(c)
-            h = s[:, 2 * hid :] * th
-            ss.append(s)
-            gs.append(g)
-            tc.append((th, tagger.squash_slope(c)))
-        out = np.stack(hs[1:] + [h])
-        run.append((hs, cs, zs, ss, gs, tc, out if d == 0 else out[::-1]))
-    both = np.concatenate([run[0][6], run[1][6]], axis=2)
+    # both directions step together, the second over reversed time
+    p = np.stack([proj[..., : 4 * hid], proj[::-1, :, 4 * hid :]], axis=1)
+    h, c = np.zeros((2, size, hid), np.float32), np.zeros((2, size, hid), np.float32)
+    hs, cs, zs, ss, gs, tc = [], [], [], [], [], []
+    for t in range(steps):
+        zt = p[t] + h @ w["u"]
+        s, g = tagger.gates_of(zt[..., : 3 * hid]), tagger.squash(zt[..., 3 * hid :])
+        hs.append(h)
+        cs.append(c)
+        zs.append(zt[..., 3 * hid :])
+        c = s[..., hid : 2 * hid] * c + s[..., :hid] * g
+        th = tagger.squash(c)
+        h = s[..., 2 * hid :] * th
+        ss.append(s)
+        gs.append(g)
+        tc.append((th, tagger.squash_slope(c)))
+    out = np.stack(hs[1:] + [h])
+    both = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
     loss, de, dtrans = crf(both @ w["v"] + w["c"], w["trans"], y, mask)
     grad = {"trans": dtrans, "c": de.sum((0, 1)), "v": both.reshape(-1, 2 * hid).T @ de.reshape(-1, de.shape[2])}
     dboth = de @ w["v"].T
-    dproj, du = np.empty_like(proj), np.zeros_like(w["u"])
-    for d in range(2):
-        hs, cs, zs, ss, gs, tc, _ = run[d]
-        dout = dboth[..., d * hid : (d + 1) * hid]
-        dout = dout if d == 0 else dout[::-1]
-        dh, dc = np.zeros((size, hid), np.float32), np.zeros((size, hid), np.float32)
-        dz_all = np.empty((steps, size, 4 * hid), np.float32)
-        for t in range(steps - 1, -1, -1):
-            s, g, (th, slope) = ss[t], gs[t], tc[t]
-            dh_t = dout[t] + dh
-            dc_t = dc + dh_t * s[:, 2 * hid :] * slope
-            ds = np.concatenate([dc_t * g, dc_t * cs[t], dh_t * th], axis=1)
-            dz = dz_all[t]
-            dz[:, : 3 * hid] = ds * 0.25 * ((s > 0) & (s < 1))
-            dz[:, 3 * hid :] = dc_t * s[:, :hid] * tagger.squash_slope(zs[t])
-            dc = dc_t * s[:, hid : 2 * hid]
-            dh = dz @ w["u"][d].T
-        du[d] = np.stack(hs).reshape(-1, hid).T @ dz_all.reshape(-1, 4 * hid)
-        dproj[..., d * 4 * hid : (d + 1) * 4 * hid] = dz_all if d == 0 else dz_all[::-1]
+    dout = np.stack([dboth[..., :hid], dboth[::-1, :, hid:]], axis=1)
+    dh, dc = np.zeros((2, size, hid), np.float32), np.zeros((2, size, hid), np.float32)
+    dz_all = np.empty((steps, 2, size, 4 * hid), np.float32)
+    back = np.ascontiguousarray(w["u"].transpose(0, 2, 1))
+    for t in range(steps - 1, -1, -1):
+        s, g, (th, slope) = ss[t], gs[t], tc[t]
+        dh_t = dout[t] + dh
+        dc_t = dc + dh_t * s[..., 2 * hid :] * slope
+        ds = np.concatenate([dc_t * g, dc_t * cs[t], dh_t * th], axis=2)
+        dz = dz_all[t]
+        dz[..., : 3 * hid] = ds * 0.25 * ((s > 0) & (s < 1))
+        dz[..., 3 * hid :] = dc_t * s[..., :hid] * tagger.squash_slope(zs[t])
+        dc = dc_t * s[..., hid : 2 * hid]
+        dh = dz @ back
+    held = np.stack(hs)
+    du = np.stack([held[:, d].reshape(-1, hid).T @ dz_all[:, d].reshape(-1, 4 * hid) for d in range(2)])
+    dproj = np.concatenate([dz_all[:, 0], dz_all[::-1, 1]], axis=2)
     flat = dproj.reshape(-1, 8 * hid)
     demb = flat @ w["w"].T
     grad |= {"u": du, "b": flat.sum(0), "w": emb.reshape(-1, WIDTH).T @ flat}
