@@ -55,7 +55,7 @@ SHARED_BY = 3
 _BITS = 20
 
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|code|mark|sub|sup|small|font)\b[^<>]*>|[*`~­]", re.IGNORECASE)
-_TAG = re.compile(r"<[^<>]{0,400}>")
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[一-鿿぀-ヿ々]|[^\W_]+(?:[-‐‑–'’][^\W_]+)*")
 _SENTENCE_END = re.compile(r"(?<=[.!?:。！？])\s")
 
